@@ -5,8 +5,10 @@ of at least 3/4 differ in at most (a + b) / 7 elements, a and b being their size
 into a sketch of ``m`` cells, a shingle going to the cell that the top bits of its hash name: every
 differing shingle spoils one cell at most, so the number of differing cells bounds the symmetric
 difference from below, and among h + 1 filled cells one is equal in both sketches (pigeonhole). The cell
-count is fixed per size band; cells that agree give the candidate pairs, a parity bit sketch of 512
-bits drops pairs whose Hamming distance is above the bound, and the exact sets decide.
+count is fixed per size band; cells that agree give the candidate pairs, a parity bit sketch of at
+least as many bits as the set has shingles drops pairs whose Hamming distance is above the bound, and
+the exact sets decide. Texts are fetched for pairs that came so far; a bitmap of fixed size spares the
+other texts the shuffle.
 
 * Shingles of very many documents (a bounded list, which only steers the work) stay out of the cells;
   a set that then has too few filled cells also joins by the rarest n/4 + 1 shingles, so that any two
@@ -42,7 +44,10 @@ BAND = 4
 COMMON_FROM, COMMON_LISTED = 64, 65_536
 #: Documents within one task from which it reports a shingle.
 REPORTED_FROM = 3
+#: Bits of the smallest sketch.
 SKETCH_BITS = 512
+#: Slots of the bitmap of wanted ids, and of one of its pieces.
+WANTED_SLOTS, PIECE_SLOTS = 1 << 24, 32_768
 
 U64 = np.uint64
 
@@ -75,8 +80,9 @@ def node_id(grams: np.ndarray) -> int:
 
 
 def bit_sketch(grams: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of 512 cells, as eight longs."""
-    parity = np.bincount((grams & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parity of the shingles in each of at least as many cells, a power of two of them, as longs."""
+    bits = max(SKETCH_BITS, 1 << (len(grams) - 1).bit_length())
+    parity = np.bincount((grams & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
@@ -158,19 +164,21 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, sets in shingle_sets(batch):
             ids_type = piece.schema.field("doc_id").type
             full = [i for i, s in enumerate(sets) if len(s)]
-            sketches = np.zeros((len(sets), 8), np.int64)
+            sketches = [bit_sketch(s) if len(s) else np.zeros(0, np.int64) for s in sets]
+            ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
             nodes = np.zeros(len(sets), np.int64)
             for i in full:
-                sketches[i], nodes[i] = bit_sketch(sets[i]), node_id(sets[i])
+                nodes[i] = node_id(sets[i])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.zeros(len(sets), np.int32)),
                     piece.column(piece.schema.get_field_index("doc_id")),
+                    piece.column(piece.schema.get_field_index("text_hash")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(sets) + 1, 8, dtype=np.int32)), pa.array(sketches.ravel())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches))),
                 ],
-                ["kind", "doc_id", "n", "node", "sketch"],
+                ["kind", "doc_id", "text_hash", "n", "node", "sketch"],
             )
             if full:
                 grams = np.sort(np.concatenate([sets[i] for i in full]))
@@ -189,8 +197,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(values), 50_000):
             part = values[i : i + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(part), np.int32)), pa.nulls(len(part), ids_type), pa.array(times[i : i + 50_000].astype(np.int64)), pa.array(part.view(np.int64)), pa.nulls(len(part), pa.list_(pa.int64()))],
-                ["kind", "doc_id", "n", "node", "sketch"],
+                [pa.array(np.ones(len(part), np.int32)), pa.nulls(len(part), ids_type), pa.nulls(len(part), pa.int64()), pa.array(times[i : i + 50_000].astype(np.int64)), pa.array(part.view(np.int64)), pa.nulls(len(part), pa.list_(pa.int64()))],
+                ["kind", "doc_id", "text_hash", "n", "node", "sketch"],
             )
 
 
@@ -313,32 +321,53 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sizes allow a link and whose bit sketches differ in no more than (a + b) / 7 places."""
     na = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     nb = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    apart: Column = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.join(na, "a").join(nb, "b").where((4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (7 * apart <= F.col("n_a") + F.col("n_b")))
+    length = F.least(F.size("s_a"), F.size("s_b"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = lambda c: F.when(F.size(c) > length, F.zip_with(F.slice(c, 1, length), F.slice(c, length + 1, length), xor)).otherwise(F.col(c))
+    apart: Column = F.aggregate(F.transform(F.zip_with(folded("s_a"), folded("s_b"), xor), F.bit_count), F.lit(0), lambda s, x: s + x)
+    sized = pairs.join(na, "a").join(nb, "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+    return sized.where(7 * apart <= F.col("n_a") + F.col("n_b"))
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text hash are in ``wanted`` (doc_id, text_hash, node), with the node.
+
+    A bitmap of 2 MB tells most other rows apart before anything is shuffled; the join decides.
+    """
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(WANTED_SLOTS))
+    pieces = wanted.select((slot / PIECE_SLOTS).cast("int").alias("piece"), (slot % PIECE_SLOTS).alias("place")).groupBy("piece").agg(F.bitmap_construct_agg("place").alias("bits"))
+    asked = docs.withColumn("piece", (slot / PIECE_SLOTS).cast("int")).withColumn("place", (slot % PIECE_SLOTS).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    likely = asked.join(F.broadcast(pieces), "piece").where(byte.bitwiseAND(F.expr("shiftleft(1, place % 8)")) != 0)
+    likely = likely.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "text")
+    same = (F.col("own_hash") == F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("doc_id"))
+    return likely.join(wanted, same).select("node", "text")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row for each row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    facts = written(docs.mapInArrow(_facts, f"kind int, doc_id {id_type}, n bigint, node bigint, sketch array<bigint>"), "facts")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    facts = written(docs.mapInArrow(_facts, f"kind int, doc_id {id_type}, text_hash bigint, n bigint, node bigint, sketch array<bigint>"), "facts")
     common = facts.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
     common = np.sort(np.array([r.node for r in common.orderBy(F.desc("n"), "node").limit(COMMON_LISTED).collect()], np.int64).view(U64))
     rows = facts.where("kind = 0")
-    cells = docs.mapInArrow(_cells(common), "key bigint, node bigint")
+    cells = docs.select("text").mapInArrow(_cells(common), "key bigint, node bigint")
     groups = cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "sig bigint, node bigint")
     groups = written(groups.distinct(), "groups")
     members = groups.select("node").distinct()
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("one")).select("node", "n", "sketch", "one.*")
     nodes = written(nodes.join(members, "node", "left_semi"), "nodes")
-    wanted = docs.join(nodes.select("doc_id", "node"), docs.doc_id.eqNullSafe(nodes.doc_id)).select("node", "text")
-    sets = wanted.mapInArrow(_set_rows, "node bigint, found bigint, grams binary").where("node = found")
-    sets = written(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select("a", "b"), "pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = written(nodes.join(ends, "node", "left_semi").select("doc_id", "text_hash", "node"), "wanted")
+        sets = _fetched(docs, wanted).mapInArrow(_set_rows, "node bigint, found bigint, grams binary").where("node = found")
+        sets = written(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
         ga = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
         gb = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
-        return written(pairs.select("a", "b").join(ga, "a").join(gb, "b").mapInArrow(_similar, "a bigint, b bigint"), "edges")
+        return written(pairs.join(ga, "a").join(gb, "b").mapInArrow(_similar, "a bigint, b bigint"), "edges")
 
     hubs = groups.groupBy("sig").agg(F.min("node").alias("b"))
     spokes = groups.join(hubs, "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("cells"))
