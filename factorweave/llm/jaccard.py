@@ -13,8 +13,9 @@ other texts the shuffle.
 * Shingles of very many documents (a bounded list, which only steers the work) stay out of the cells;
   a set that then has too few filled cells also joins by the rarest n/4 + 1 shingles, so that any two
   such sets meet as well. The result never depends on the list.
-* Equal sets are one node. Groups of near copies are first compared with one hub each; then all pairs
-  of a cell that are still in different components are compared. No candidate is dropped.
+* Equal sets are one node. Groups of near copies are first compared with one hub each; then the members
+  of a cell that are still in different components are compared by their bit sketches, blocks of a
+  group at a time and without a row for each pair. No candidate is dropped.
 * Links and components stay distributed; every step is cut by a table in the shared folder.
 
 Nulls and texts without words have empty sets and stay alone. Repeated rows share a node. A null id
@@ -46,6 +47,8 @@ COMMON_FROM, COMMON_LISTED = 64, 65_536
 REPORTED_FROM = 3
 #: Bits of the smallest sketch.
 SKETCH_BITS = 512
+#: Members of a group that are compared with as many others in one piece of work.
+BLOCK = 512
 #: Slots of the bitmap of wanted ids, and of one of its pieces.
 WANTED_SLOTS, PIECE_SLOTS = 1 << 24, 32_768
 
@@ -54,7 +57,7 @@ U64 = np.uint64
 
 def shingle_sets(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Pieces of a batch with the sorted distinct shingle hashes of each text."""
-    for piece in tx.pieces(batch, column):
+    for piece in tx.pieces(batch, column, 1 << 20):
         data, off = tx.flat(piece.column(piece.schema.get_field_index(column)))
         data = tx.LOWER[data]
         starts, ends, first = tx.words(data, off, tx.SPACES)
@@ -186,7 +189,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 times = np.diff(np.append(begin, len(grams)))
                 seen.append((grams[begin], times))
                 pending += len(begin)
-                if pending > 4_000_000:
+                if pending > 1_000_000:
                     values, times = counts(seen)
                     keep = times >= 2
                     seen, pending = [(values[keep], times[keep])], 0
@@ -301,6 +304,78 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part
 
 
+def _halved(sketches: np.ndarray) -> np.ndarray:
+    """Sketches of half as many bits: cells that the shorter hash can't tell apart are XOR-ed."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def close_pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, block: np.ndarray, across: bool, sketches: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different labels (and blocks, if ``across``) that sizes and bit sketches allow to link."""
+    out = []
+    lengths = np.array([len(s) for s in sketches])
+    for length in np.unique(lengths):
+        own = np.flatnonzero(lengths == length)
+        mine = np.stack([sketches[i] for i in own])
+        for other, theirs in ((own, mine), (longer := np.flatnonzero(lengths == 2 * length), _halved(np.stack([sketches[i] for i in longer])) if len(longer) else None)):
+            if theirs is None:
+                continue
+            values, counts = np.unique(label[own], return_counts=True)
+            largest = values[counts.argmax()] if other is own else None
+            for k, i in enumerate(own):
+                if label[i] == largest:
+                    continue
+                apart = np.bitwise_count(theirs ^ mine[k]).sum(1, dtype=np.int64)
+                fits = (7 * apart <= n[other] + n[i]) & (label[other] != label[i]) & (4 * np.minimum(n[other], n[i]) >= 3 * np.maximum(n[other], n[i]))
+                if across:
+                    fits &= block[other] != block[i]
+                found = node[other[fits]]
+                if len(found):
+                    out.append((np.minimum(found, node[i]), np.maximum(found, node[i])))
+    return out
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by group and blocks: the close pairs of each two blocks."""
+    held: list[pa.RecordBatch] = []
+    known: set[tuple[int, int]] = set()
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = {c: table.column(c).to_numpy() for c in ("sig", "lo", "hi", "block", "node", "label", "n")}
+        sketch = table.column("sketch").combine_chunks()
+        sketch = sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch
+        offsets, words = sketch.offsets.to_numpy(), sketch.values.to_numpy().view(U64)
+        change = (columns["sig"][1:] != columns["sig"][:-1]) | (columns["lo"][1:] != columns["lo"][:-1]) | (columns["hi"][1:] != columns["hi"][:-1])
+        begin = np.append(np.flatnonzero(np.concatenate(([True], change))), len(table))
+        fresh: list[tuple[int, int]] = []
+        for i, j in zip(begin[:-1], begin[1:], strict=True):
+            part = {c: v[i:j] for c, v in columns.items()}
+            across = part["lo"][0] != part["hi"][0]
+            for a, b in close_pairs(part["node"], part["label"], part["n"], part["block"], across, [words[offsets[k] : offsets[k + 1]] for k in range(i, j)]):
+                for pair in zip(a.tolist(), b.tolist(), strict=True):
+                    if pair not in known:
+                        known.add(pair)
+                        fresh.append(pair)
+            if len(known) > 500_000:
+                known.clear()
+        if fresh:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh]), pa.array([p[1] for p in fresh])], ["a", "b"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        last = [table.column(c)[-1].as_py() for c in ("sig", "lo", "hi")]
+        same = np.logical_and.reduce([table.column(c).to_numpy() == v for c, v in zip(("sig", "lo", "hi"), last, strict=True)])
+        end = len(table) - int(same.sum())
+        if end:
+            yield from pairs(table.slice(0, end))
+        held = table.slice(end).combine_chunks().to_batches()
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
 def linked_components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node reachable over ``a, b`` edges, by neighbours' labels and pointer jumps."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
@@ -369,18 +444,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         gb = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
         return written(pairs.join(ga, "a").join(gb, "b").mapInArrow(_similar, "a bigint, b bigint"), "edges")
 
-    hubs = groups.groupBy("sig").agg(F.min("node").alias("b"))
+    # a group's hub is the member that shares most with all others: likely what its copies were made from
+    sizes = groups.groupBy("sig").agg(F.count("*").alias("size"))
+    weights = groups.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = groups.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("hub")).select("sig", F.col("hub.node").alias("b"))
     spokes = groups.join(hubs, "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("cells"))
-    best = _close(spokes, nodes).groupBy("a").agg(F.max(F.struct("cells", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    best = spokes.groupBy("a").agg(F.max(F.struct("cells", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    best = _close(best, nodes)
     edges = verified(best)
     labels = linked_components(edges)
     tagged = groups.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     mixed = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
     open_ = written(tagged.join(mixed, "sig", "left_semi"), "open")
-    left = open_.select("sig", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = open_.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "sig").where("a < b and la <> lb").select("a", "b").distinct()
-    more = verified(_close(rest, nodes))
+    pieces = open_.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
+    cut = open_.join(pieces, "sig").join(nodes.select("node", "n", "sketch"), "node")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    cut = cut.select("sig", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "label", "n", "sketch")
+    cut = cut.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    more = verified(cut.mapInArrow(_near, "a bigint, b bigint").distinct())
     if not more.isEmpty():
         labels = linked_components(edges.union(more))
     named = rows.join(labels, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
