@@ -36,6 +36,8 @@ STEM_BYTES = 5
 COMMON_WORDS, TELLING_WORDS = 4096, 2048
 #: Least G-squared of a telling word; among a million words about one reaches it by chance.
 TELLING_FROM = 24.0
+#: Times as frequent in toxic texts as in ordinary ones that a telling word must be.
+TELLING_TIMES = 4
 #: Signatures of a text by which copies are found.
 SIGNATURES = 3
 #: Bytes that a window must save to count as toxic.
@@ -219,7 +221,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     part = lambda k, n, q: k * F.ln(F.greatest(q, F.lit(1e-12))) + (n - k) * F.ln(F.greatest(1 - q, F.lit(1e-12)))
     g2 = 2 * (part(F.col("toxic"), toxic, a) + part(F.col("ordinary"), ordinary, b) - part(F.col("toxic"), toxic, p) - part(F.col("ordinary"), ordinary, p))
     words = counts.where("word <> 0")
-    telling = words.where(a > b).withColumn("g2", g2).where(F.col("g2") >= TELLING_FROM).orderBy(F.desc("g2"), "word").limit(TELLING_WORDS)
+    telling = words.where(a >= TELLING_TIMES * b).withColumn("g2", g2).where(F.col("g2") >= TELLING_FROM).orderBy(F.desc("g2"), "word").limit(TELLING_WORDS)
     telling = np.array([r.word for r in telling.select("word").collect()], np.int64).view(U64)
     common = words.where("ordinary > 0").orderBy(F.desc("ordinary"), "word").limit(COMMON_WORDS + 2 * TELLING_WORDS)
     common = np.array([r.word for r in common.select("word").collect()], np.int64).view(U64)
