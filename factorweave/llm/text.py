@@ -70,7 +70,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
+def pieces(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 512 << 10) -> Iterator[pa.RecordBatch | pa.Table]:
     """Slices of a batch with about ``limit`` bytes of text each; a longer text stands alone."""
     _, off = flat(batch.column(batch.schema.get_field_index(text)))
     i, n = 0, len(off) - 1
@@ -78,6 +78,7 @@ def pieces(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 2 << 20) ->
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
