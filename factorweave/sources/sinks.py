@@ -1,0 +1,61 @@
+"""Exports: CSV with spreadsheet-safe text, JSON, and the artifacts of a run."""
+
+from __future__ import annotations
+
+import csv
+import datetime as dt
+import hashlib
+import json
+import math
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def safe_text(column: str):
+    """Text that a spreadsheet would take for a formula gets a quote in front."""
+    return F.when(F.col(column).rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), F.col(column))).otherwise(F.col(column))
+
+
+def _cell(value: object) -> str:
+    if value is None or isinstance(value, float) and math.isnan(value):
+        return ""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value:.10g}"
+    text = str(value)
+    return f"'{text}" if isinstance(value, str) and text[:1] in "=+-@\t\r" and text else text
+
+
+def write_csv(df: DataFrame, path: str | Path) -> None:
+    """A small result as one file; rows are streamed to the driver."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(df.columns)
+        for row in df.toLocalIterator():
+            out.writerow([_cell(v) for v in row])
+
+
+def write_json(path: str | Path, payload: object) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(payload, indent=2, sort_keys=True, default=lambda v: v.isoformat() if isinstance(v, (dt.date, dt.datetime)) else str(v)) + "\n")
+
+
+def source_hash(paths: list[str | Path]) -> str:
+    digest = hashlib.sha256()
+    for path in map(Path, paths):
+        digest.update(path.name.encode())
+        digest.update(path.read_bytes())
+    return digest.hexdigest()[:16]
+
+
+def report(ranks: DataFrame, holdings: DataFrame, skipped: DataFrame) -> str:
+    """A Markdown summary of a run."""
+    lines = ["# Factor report", "", "| rank | factor | score |", "|-|-|-|"]
+    lines += [f"| {r['rank']} | {r.factor} | {r.composite_score:.6f} |" for r in ranks.orderBy("rank").limit(20).collect()]
+    lines += ["", "| ticker | weight |", "|-|-|", *(f"| {r.ticker} | {r.weight:.4f} |" for r in holdings.collect())]
+    lines += ["", "| reason | count |", "|-|-|", *(f"| {r.skip_reason} | {r['count']} |" for r in skipped.orderBy(F.desc("count"), "skip_reason").collect())]
+    return "\n".join(lines) + "\n"
