@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import TICKER
+from .kernels import by_ticker
 from .portfolio import average_dollar_volume, is_stock
 from .scoring import signal_rows
 
@@ -26,7 +26,7 @@ def price_coverage(prices: DataFrame, min_ratio: float = 0.0) -> DataFrame:
 def eligibility(prices: DataFrame, universe: DataFrame, dates: list, min_history: int, min_dollar_volume: float, adv_window: int) -> DataFrame:
     """By signal date: active tickers with enough history, enough volume, and both."""
     active = universe.where(is_stock()).select("ticker").distinct()
-    rows = signal_rows(prices.select("ticker", "date", F.row_number().over(TICKER).alias("n")), dates).join(active, "ticker", "left_semi")
+    rows = signal_rows(prices.select("ticker", "date", F.row_number().over(by_ticker()).alias("n")), dates).join(active, "ticker", "left_semi")
     rows = rows.join(average_dollar_volume(prices, dates, adv_window), ["ticker", "signal_date"])
     old, liquid = F.col("n") >= min_history, (F.col("adv") >= min_dollar_volume) | F.lit(min_dollar_volume <= 0)
     return rows.groupBy("signal_date").agg(F.count_if(old).alias("history"), F.count_if(liquid).alias("liquid"), F.count_if(old & liquid).alias("eligible"))

@@ -14,13 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IH, IV, MISSING, ERROR = "insufficient_history", "insufficient_volume", "missing_fundamentals", "provider_error"
-TICKER = Window.partitionBy("ticker").orderBy("date")
+
+
+def by_ticker():
+    """The window of a ticker's rows in order of time."""
+    return Window.partitionBy("ticker").orderBy("date")
+
 
 Pair = tuple[Column, Column]
 
 
 def frame(first: int, last: int = 0):
-    return TICKER.rowsBetween(first, last)
+    return by_ticker().rowsBetween(first, last)
 
 
 def trailing(n: int):
@@ -32,9 +37,9 @@ def prepared(prices: DataFrame) -> DataFrame:
     clean = {c: F.when(~F.isnan(c), F.col(c)) for c in ("open", "high", "low", "close", "adj_close")}
     df = prices.withColumns(clean).withColumn("c", F.col("adj_close"))
     df = df.withColumns({"high": F.coalesce("high", "c"), "low": F.coalesce("low", "c"), "close": F.coalesce("close", "c"), "open": F.coalesce("open", "c")})
-    before, shut = F.lag("c").over(TICKER), F.lag("close").over(TICKER)
-    df = df.withColumns({"n": F.row_number().over(TICKER), "dv": F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) * F.col("c"), "r": F.when(before > 0, F.col("c") / before - 1), "gap": F.when(shut > 0, F.col("open") / shut - 1)})
-    old = F.lag("dv").over(TICKER)
+    before, shut = F.lag("c").over(by_ticker()), F.lag("close").over(by_ticker())
+    df = df.withColumns({"n": F.row_number().over(by_ticker()), "dv": F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) * F.col("c"), "r": F.when(before > 0, F.col("c") / before - 1), "gap": F.when(shut > 0, F.col("open") / shut - 1)})
+    old = F.lag("dv").over(by_ticker())
     return df.withColumns(
         {
             "dv_change": F.when(old > 0, F.col("dv") / old - 1),
@@ -66,8 +71,8 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def momentum(lookback: int, skip: int = 0) -> Pair:
-    start = F.lag("c", lookback).over(TICKER)
-    end = F.lag("c", skip).over(TICKER) if skip else F.col("c")
+    start = F.lag("c", lookback).over(by_ticker())
+    end = F.lag("c", skip).over(by_ticker()) if skip else F.col("c")
     return given(F.lit(skip < lookback) & (start > 0), _ratio(end, start) - 1)
 
 
@@ -104,7 +109,7 @@ def tail_loss(window: int) -> Pair:
 
 
 def trend_efficiency(window: int) -> Pair:
-    start, path = F.lag("c", window).over(TICKER), F.sum(F.abs("r")).over(trailing(window))
+    start, path = F.lag("c", window).over(by_ticker()), F.sum(F.abs("r")).over(trailing(window))
     return given(start > 0, F.coalesce(_ratio(_ratio(F.col("c"), start) - 1, path), F.lit(0.0)))
 
 

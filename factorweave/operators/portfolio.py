@@ -49,7 +49,7 @@ def is_stock() -> Column:
 def average_dollar_volume(prices: DataFrame, dates: list, window: int) -> DataFrame:
     """``ticker, signal_date, adv``: 0 where the history is shorter than the window."""
     w = max(1, window)
-    adv = F.when(F.row_number().over(kernels.TICKER) >= w, F.avg(F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) * F.col("adj_close")).over(kernels.trailing(w))).otherwise(F.lit(0.0))
+    adv = F.when(F.row_number().over(kernels.by_ticker()) >= w, F.avg(F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) * F.col("adj_close")).over(kernels.trailing(w))).otherwise(F.lit(0.0))
     return signal_rows(prices.select("ticker", "date", adv.alias("adv")), dates).select("ticker", "signal_date", "adv")
 
 

@@ -17,7 +17,7 @@ def signal_rows(rows: DataFrame, dates: list) -> DataFrame:
     ``dates`` is a calendar: it is known to the driver and has a few hundred entries at most.
     """
     days = F.array(*(F.lit(d) for d in sorted(dates))) if dates else F.expr("cast(array() as array<date>)")
-    until = F.lead("date").over(kernels.TICKER)
+    until = F.lead("date").over(kernels.by_ticker())
     found = rows.withColumn("until", until).withColumn("signal_date", F.explode(F.filter(days, lambda d: (d >= F.col("date")) & (F.col("until").isNull() | (d < F.col("until"))))))
     return found.drop("until")
 
