@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import registry
 from ..functions.registry import Factor
 from ..operators import calendar, diagnostics, metrics, portfolio, scoring
 from ..sources import loaders, symbols
@@ -203,6 +204,20 @@ def _asof(spark, sf_dir):
     return scoring.base_scores(prices, dates, [factor], panel.fundamentals(spark, sf_dir)).select("ticker", "signal_date", "score", "skip_reason")
 
 
+@_query("zoo_scores", None)
+def _zoo(spark, sf_dir):
+    """All registered factors at once, counted by reason: the widest plan there is."""
+    prices = panel.prices(spark, sf_dir)
+    dates = _dates(calendar.rebalance_dates(prices))[:-1]
+    rows = scoring.factor_scores(prices, dates, registry.preset("zoo"), panel.fundamentals(spark, sf_dir))
+    return rows.groupBy("factor", "skip_reason").agg(F.count("*").alias("n"))
+
+
+@_query("family_summary", None)
+def _families(spark, sf_dir):
+    return registry.family_summary(registry.catalog(spark))
+
+
 # --- portfolios
 
 _RULES = portfolio.Rules(top_n=5, weighting="score", min_market_cap=1000.0, min_dollar_volume=1.0, adv_window=13, cost_bps=10.0)
