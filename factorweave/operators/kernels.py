@@ -1,8 +1,9 @@
-"""Scoring kernels: each kind gives a (score, reason) pair of window expressions over a ticker's rows.
+"""Scoring kernels: each kind gives a (score, reason) pair from windows over a ticker's rows.
 
-Rows carry ``open, high, low, close, adj_close, volume``; ``prepared`` adds what the kernels share. All
-frames count rows, so every kernel uses the one window of its ticker: one exchange and one sort serve
-them all. A reason of '' means that the score holds.
+Rows carry ``open, high, low, close, adj_close, volume``; ``prepared`` adds what the kernels share. A kernel
+asks ``Frames`` for the windowed columns it needs; each is made once, however many factors use it, and
+aggregates and kernels are evaluated at signal rows alone. All frames count rows, so every kernel uses the
+one window of its ticker: one exchange and one sort serve them all. A reason of '' means that the score holds.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ def trailing(n: int):
     return frame(1 - n)
 
 
+#: Series that kernels ask to be whole in a frame; ``prepared`` counts their values from the first row on.
+COUNTED = ("r", "rng", "gap", "day", "dv_change", "traded")
+
+
 def prepared(prices: DataFrame) -> DataFrame:
     """``prices`` with the row number ``n`` and the series that kernels read; NaN counts as missing."""
     clean = {c: F.when(~F.isnan(c), F.col(c)) for c in ("open", "high", "low", "close", "adj_close")}
@@ -39,171 +44,257 @@ def prepared(prices: DataFrame) -> DataFrame:
     df = df.withColumns({"high": F.coalesce("high", "c"), "low": F.coalesce("low", "c"), "close": F.coalesce("close", "c"), "open": F.coalesce("open", "c")})
     before, shut = F.lag("c").over(by_ticker()), F.lag("close").over(by_ticker())
     df = df.withColumns({"n": F.row_number().over(by_ticker()), "dv": F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) * F.col("c"), "r": F.when(before > 0, F.col("c") / before - 1), "gap": F.when(shut > 0, F.col("open") / shut - 1)})
-    old = F.lag("dv").over(by_ticker())
-    return df.withColumns(
+    old, returned = F.lag("dv").over(by_ticker()), F.col("r").isNotNull()
+    df = df.withColumns(
         {
             "dv_change": F.when(old > 0, F.col("dv") / old - 1),
             "day": F.when(F.col("open") > 0, F.col("close") / F.col("open") - 1),
             "rng": F.when((F.col("c") > 0) & (F.col("high") >= F.col("low")), (F.col("high") - F.col("low")) / F.col("c")),
+            "traded": F.when(F.col("dv") > 0, F.lit(1)),
+            "path": F.abs("r"),
+            "cost": F.abs("r") / F.nullif("dv", F.lit(0.0)),
+            # least and greatest skip nulls, so a missing return needs its own test
+            "down": F.when(returned, F.least("r", F.lit(0.0))),
+            "up": F.when(returned, F.greatest("r", F.lit(0.0))),
+            "rose": F.when(returned, (F.col("r") > 0).cast("double")),
         }
     )
+    return df.withColumns({f"count_{c}": F.count(c).over(frame(Window.unboundedPreceding)) for c in COUNTED})
 
 
-def given(ok: Column, score: Column, reason: str = IH) -> Pair:
-    good = F.coalesce(ok, F.lit(False))
-    return F.when(good, score), F.when(good, F.lit("")).otherwise(F.lit(reason))
+#: Kept series that may lack values in a frame that counts: their frames leave those out.
+GAPPY = ("c", "high", "low", "dv", "path")
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+# Over an array ``a`` of doubles. Deviations are from a mean taken as an offset from the first value: of equal values all are 0.
+_SUM = "aggregate(a, 0D, (s, v) -> s + v)"
+_MEAN = f"{_SUM} / nullif(size(a), 0)"
+_CENTRE = "get(a, 0) + aggregate(a, 0D, (s, v) -> s + (v - get(a, 0))) / nullif(size(a), 0)"
+_M2, _M3, _M4 = (f"aggregate(a, 0D, (s, v) -> s + {' * '.join(['(v - m)'] * k)}) / nullif(size(a), 0)" for k in (2, 3, 4))
+
+
+class Frames:
+    """The windowed columns that kernels ask for, by name; the same request gives the same column.
+
+    Lags and counts are window functions, which cost the same at any width. An aggregate of a frame costs its
+    width in every row, so it is taken at signal rows alone, from an array of the trailing rows.
+    """
+
+    def __init__(self) -> None:
+        self.lags: dict[str, Column] = {}
+        self.aggregates: dict[str, Column] = {}
+        self.series: set[str] = set()
+        self.longest = 0
+
+    def now(self, column: str) -> Column:
+        self.lags.setdefault(f"now_{column}", F.col(column).alias(f"now_{column}"))
+        return F.col(f"now_{column}")
+
+    def lag(self, column: str, k: int) -> Column:
+        if not k:
+            return self.now(column)
+        name = f"lag_{column}_{k}"
+        self.lags.setdefault(name, F.lag(column, k).over(by_ticker()).alias(name))
+        return F.col(name)
 
+    def full(self, column: str, w: int) -> Column:
+        """Whether the last ``w`` rows all have a value."""
+        count = f"count_{column}"
+        return self.now(count) - F.coalesce(self.lag(count, w), F.lit(0)) == w
 
-def _full(column: str, w: int) -> Column:
-    return F.count(column).over(trailing(w)) == w
+    def rows(self, w: int) -> Column:
+        return self.now("n") >= w
 
+    def _values(self, column: str, w: int, skip: int = 0) -> str:
+        """SQL for a frame's values in order of time: ``w`` rows that end ``skip`` rows back, fewer at a ticker's start."""
+        self.longest = max(self.longest, w + skip)
+        self.series.add(column)
+        first = f"greatest(size({column}_trail) - {w + skip}, 0)"
+        found = f"slice({column}_trail, {first} + 1, greatest(size({column}_trail) - {skip} - {first}, 0))"
+        return f"array_compact({found})" if column in GAPPY else found
 
-def _rows(w: int) -> Column:
-    return F.col("n") >= w
+    def _once(self, name: str, sql: str) -> Column:
+        if name not in self.aggregates:
+            self.aggregates[name] = F.expr(sql)
+        return F.col(name)
 
+    def least(self, column: str, w: int) -> Column:
+        return self._once(f"min_{column}_{w}", f"array_min({self._values(column, w)})")
 
-def _mean(column: str, w: int) -> Column:
-    return F.avg(column).over(trailing(w))
+    def most(self, column: str, w: int, skip: int = 0) -> Column:
+        return self._once(f"max_{column}_{w}_{skip}", f"array_max({self._values(column, w, skip)})")
+
+    def total(self, column: str, w: int) -> Column:
+        return self._once(f"sum_{column}_{w}", _let(self._values(column, w), "a", _SUM))
+
+    def mean(self, column: str, w: int, skip: int = 0) -> Column:
+        return self._once(f"mean_{column}_{w}_{skip}", _let(self._values(column, w, skip), "a", _MEAN))
+
+    def worst(self, column: str, w: int, k: int) -> Column:
+        """The mean of the ``k`` smallest values."""
+        return self._once(f"worst_{column}_{w}_{k}", _let(f"slice(array_sort({self._values(column, w)}), 1, {k})", "a", _MEAN))
+
+    def spread(self, column: str, w: int, skip: int = 0) -> Column:
+        """The population standard deviation."""
+        return self._once(f"spread_{column}_{w}_{skip}", _let(self._values(column, w, skip), "a", _let(_CENTRE, "m", f"sqrt({_M2})")))
+
+    def shape(self, column: str, w: int) -> Column:
+        """A struct of the second to fourth central moments."""
+        return self._once(f"shape_{column}_{w}", _let(self._values(column, w), "a", _let(_CENTRE, "m", f"named_struct('m2', {_M2}, 'm3', {_M3}, 'm4', {_M4})")))
+
+    def covariance(self, x: str, y: str, w: int) -> Column:
+        """The population covariance."""
+        a, b = self._values(x, w), self._values(y, w)
+        means = _let(a, "a", _let(b, "b", _let(_MEAN, "m", _let(_MEAN.replace("(a,", "(b,").replace("(a)", "(b)"), "k", "aggregate(zip_with(a, b, (p, q) -> (p - m) * (q - k)), 0D, (s, v) -> s + v) / nullif(size(a), 0)"))))
+        return self._once(f"cov_{x}_{y}_{w}", means)
+
+    def trail(self) -> list[Column]:
+        """The array of trailing rows, if an aggregate needs one."""
+        return [F.collect_list(F.struct(*sorted(self.series))).over(trailing(self.longest)).alias("trail")] if self.longest else []
+
+    def aggregated(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the aggregates in place of the trailing rows."""
+        if not self.longest:
+            return rows
+        # a transform, not a field access: the optimizer would repeat that inside every aggregate
+        apart = rows.select("*", *(F.expr(f"transform(trail, t -> t.{c})").alias(f"{c}_trail") for c in sorted(self.series))).drop("trail")
+        return apart.withColumns(self.aggregates).drop(*(f"{c}_trail" for c in self.series))
+
+
+def given(ok: Column, score: Column, reason: str = IH) -> Pair:
+    good = F.coalesce(ok, F.lit(False))
+    return F.when(good, score), F.when(good, F.lit("")).otherwise(F.lit(reason))
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
-def momentum(lookback: int, skip: int = 0) -> Pair:
-    start = F.lag("c", lookback).over(by_ticker())
-    end = F.lag("c", skip).over(by_ticker()) if skip else F.col("c")
-    return given(F.lit(skip < lookback) & (start > 0), _ratio(end, start) - 1)
+def momentum(at: Frames, lookback: int, skip: int = 0) -> Pair:
+    start = at.lag("c", lookback)
+    return given(F.lit(skip < lookback) & (start > 0), _ratio(at.lag("c", skip), start) - 1)
 
 
-def reversal(lookback: int) -> Pair:
-    score, reason = momentum(lookback)
+def reversal(at: Frames, lookback: int) -> Pair:
+    score, reason = momentum(at, lookback)
     return -score, reason
 
 
-def volatility(window: int, measure: str = "total") -> Pair:
+def volatility(at: Frames, window: int, measure: str = "total") -> Pair:
     if measure == "range":
-        return given(_full("rng", window), -_mean("rng", window))
-    part = {"total": F.col("r"), "downside": F.least("r", F.lit(0.0)), "upside": F.greatest("r", F.lit(0.0))}[measure]
-    # least and greatest skip nulls, so the first row's missing return needs its own test
-    part = F.when(F.col("r").isNotNull(), part)
-    return given(_full("r", window), -F.stddev_pop(part).over(trailing(window)))
-
-
-def _spread(window: int) -> Column:
-    return F.stddev_pop("r").over(trailing(window))
+        return given(at.full("rng", window), -at.mean("rng", window))
+    return given(at.full("r", window), -at.spread({"total": "r", "downside": "down", "upside": "up"}[measure], window))
 
 
-def return_skew(window: int) -> Pair:
-    return given(_full("r", window) & (_spread(window) > 0), F.skewness("r").over(trailing(window)))
+def return_skew(at: Frames, window: int) -> Pair:
+    m = at.shape("r", window)
+    return given(at.full("r", window) & (m["m2"] > 0), _ratio(m["m3"], F.pow(m["m2"], F.lit(1.5))))
 
 
-def return_kurtosis(window: int) -> Pair:
-    return given(_full("r", window) & (_spread(window) > 0), -F.kurtosis("r").over(trailing(window)))
+def return_kurtosis(at: Frames, window: int) -> Pair:
+    m = at.shape("r", window)
+    return given(at.full("r", window) & (m["m2"] > 0), 3 - _ratio(m["m4"], m["m2"] * m["m2"]))
 
 
-def tail_loss(window: int) -> Pair:
+def tail_loss(at: Frames, window: int) -> Pair:
     k = max(1, math.ceil(0.10 * window))
-    worst = F.slice(F.array_sort(F.collect_list("r").over(trailing(window))), 1, k)
-    return given(_full("r", window), F.aggregate(worst, F.lit(0.0), lambda s, x: s + x) / k)
+    return given(at.full("r", window), at.worst("r", window, k))
 
 
-def trend_efficiency(window: int) -> Pair:
-    start, path = F.lag("c", window).over(by_ticker()), F.sum(F.abs("r")).over(trailing(window))
-    return given(start > 0, F.coalesce(_ratio(_ratio(F.col("c"), start) - 1, path), F.lit(0.0)))
+def trend_efficiency(at: Frames, window: int) -> Pair:
+    start = at.lag("c", window)
+    return given(start > 0, F.coalesce(_ratio(_ratio(at.now("c"), start) - 1, at.total("path", window)), F.lit(0.0)))
 
 
-def return_consistency(window: int) -> Pair:
-    return given(_full("r", window), F.avg(F.when(F.col("r") > 0, 1.0).when(F.col("r").isNotNull(), 0.0)).over(trailing(window)))
+def return_consistency(at: Frames, window: int) -> Pair:
+    return given(at.full("r", window), at.mean("rose", window))
 
 
-def risk_adjusted_momentum(lookback: int, skip: int, vol_window: int) -> Pair:
-    score, reason = momentum(lookback, skip)
-    spread = _spread(vol_window)
-    return given((reason == "") & _full("r", vol_window) & (spread > 0), _ratio(score, spread))
+def risk_adjusted_momentum(at: Frames, lookback: int, skip: int, vol_window: int) -> Pair:
+    score, reason = momentum(at, lookback, skip)
+    spread = at.spread("r", vol_window)
+    return given((reason == "") & at.full("r", vol_window) & (spread > 0), _ratio(score, spread))
 
 
-def liquidity(window: int) -> Pair:
-    return given(_rows(window), _mean("dv", window))
+def liquidity(at: Frames, window: int) -> Pair:
+    return given(at.rows(window), at.mean("dv", window))
 
 
-def illiquidity(window: int) -> Pair:
-    traded = F.count(F.when(F.col("dv") > 0, 1)).over(trailing(window)) == window
-    cost = F.avg(F.abs("r") / F.nullif("dv", F.lit(0.0))).over(trailing(window))
-    enough = _full("r", window)
-    return F.when(enough & traded, -cost * 1e6), F.when(~enough, IH).when(~traded, IV).otherwise("")
+def illiquidity(at: Frames, window: int) -> Pair:
+    enough, traded = at.full("r", window), at.full("traded", window)
+    return F.when(enough & traded, -at.mean("cost", window) * 1e6), F.when(~enough, IH).when(~traded, IV).otherwise("")
 
 
-def volume_trend(short: int, long: int) -> Pair:
-    base = _mean("dv", long)
-    return F.when(_rows(long) & (base > 0), _ratio(_mean("dv", short), base) - 1), F.when(~_rows(long), IH).when(base > 0, "").otherwise(IV)
+def volume_trend(at: Frames, short: int, long: int) -> Pair:
+    enough, base = at.rows(long), at.mean("dv", long)
+    return F.when(enough & (base > 0), _ratio(at.mean("dv", short), base) - 1), F.when(~enough, IH).when(base > 0, "").otherwise(IV)
 
 
-def volume_shock(short: int, long: int) -> Pair:
+def volume_shock(at: Frames, short: int, long: int) -> Pair:
     if short >= long:
         return F.lit(None).cast("double"), F.lit(IH)
-    base = frame(1 - long, -short)
-    mean, spread = F.avg("dv").over(base), F.stddev_pop("dv").over(base)
-    traded = F.count(F.when(F.col("dv") > 0, 1)).over(trailing(long)) == long
-    recent = _mean("dv", short)
+    mean, spread = at.mean("dv", long - short, short), at.spread("dv", long - short, short)
+    enough, traded, recent = at.rows(long), at.full("traded", long), at.mean("dv", short)
     score = F.when(spread > 0, _ratio(recent - mean, spread)).otherwise(_ratio(recent, mean) - 1)
-    return F.when(_rows(long) & traded, score), F.when(~_rows(long), IH).when(~traded, IV).otherwise("")
+    return F.when(enough & traded, score), F.when(~enough, IH).when(~traded, IV).otherwise("")
 
 
-def price_volume_corr(window: int) -> Pair:
-    over = trailing(window)
-    traded = F.count("dv_change").over(over) == window
+def price_volume_corr(at: Frames, window: int) -> Pair:
     # deviations from paired rows only: both series must be whole in the frame
-    score = _ratio(F.covar_pop("r", "dv_change").over(over), F.stddev_pop("r").over(over) * F.stddev_pop("dv_change").over(over))
-    whole = F.count("r").over(over) == window
-    enough = F.col("n") > window
+    score = _ratio(at.covariance("r", "dv_change", window), at.spread("r", window) * at.spread("dv_change", window))
+    enough, traded, whole = at.rows(window + 1), at.full("dv_change", window), at.full("r", window)
     return F.when(enough & traded & whole, score), F.when(~enough, IH).when(~traded, IV).when(whole & score.isNotNull(), "").otherwise(IH)
 
 
-def moving_average_gap(window: int) -> Pair:
-    mean = _mean("c", window)
-    return given(_rows(window) & (mean > 0), _ratio(F.col("c"), mean) - 1)
+def moving_average_gap(at: Frames, window: int) -> Pair:
+    mean = at.mean("c", window)
+    return given(at.rows(window) & (mean > 0), _ratio(at.now("c"), mean) - 1)
 
 
-def moving_average_cross(short: int, long: int) -> Pair:
-    mean = _mean("c", long)
-    return given(_rows(long) & (mean > 0), _ratio(_mean("c", short), mean) - 1)
+def moving_average_cross(at: Frames, short: int, long: int) -> Pair:
+    mean = at.mean("c", long)
+    return given(at.rows(long) & (mean > 0), _ratio(at.mean("c", short), mean) - 1)
 
 
-def range_position(window: int) -> Pair:
-    low, high = F.min("low").over(trailing(window)), F.max("high").over(trailing(window))
-    return given(_rows(window) & (high > low), _ratio(F.col("c") - low, high - low))
+def range_position(at: Frames, window: int) -> Pair:
+    low, high = at.least("low", window), at.most("high", window)
+    return given(at.rows(window) & (high > low), _ratio(at.now("c") - low, high - low))
 
 
-def drawdown_high(window: int) -> Pair:
-    high = F.max("c").over(trailing(window))
-    return given(_rows(window) & (high > 0), _ratio(F.col("c"), high) - 1)
+def drawdown_high(at: Frames, window: int) -> Pair:
+    high = at.most("c", window)
+    return given(at.rows(window) & (high > 0), _ratio(at.now("c"), high) - 1)
 
 
-def breakout_strength(window: int) -> Pair:
-    high = F.max("high").over(frame(-window, -1))
-    return given((F.col("n") > window) & (high > 0), _ratio(F.col("c"), high) - 1)
+def breakout_strength(at: Frames, window: int) -> Pair:
+    high = at.most("high", window, 1)
+    return given(at.rows(window + 1) & (high > 0), _ratio(at.now("c"), high) - 1)
 
 
-def range_contraction(short: int, long: int) -> Pair:
-    base = _mean("rng", long)
-    return given(_rows(long) & _full("rng", long) & (base > 0), -(_ratio(_mean("rng", short), base) - 1))
+def range_contraction(at: Frames, short: int, long: int) -> Pair:
+    base = at.mean("rng", long)
+    return given(at.rows(long) & at.full("rng", long) & (base > 0), -(_ratio(at.mean("rng", short), base) - 1))
 
 
-def overnight_return(window: int) -> Pair:
-    return given((F.col("n") > window) & _full("gap", window), _mean("gap", window))
+def overnight_return(at: Frames, window: int) -> Pair:
+    return given(at.rows(window + 1) & at.full("gap", window), at.mean("gap", window))
 
 
-def intraday_return(window: int) -> Pair:
-    return given(_full("day", window), _mean("day", window))
+def intraday_return(at: Frames, window: int) -> Pair:
+    return given(at.full("day", window), at.mean("day", window))
 
 
-def acceleration(short: int, long: int, skip: int = 0) -> Pair:
-    (a, why_a), (b, why_b) = momentum(short, skip), momentum(long, skip)
+def acceleration(at: Frames, short: int, long: int, skip: int = 0) -> Pair:
+    (a, why_a), (b, why_b) = momentum(at, short, skip), momentum(at, long, skip)
     return given((why_a == "") & (why_b == ""), a - b)
 
 
-def fundamental(field: str, direction: str) -> Pair:
+def fundamental(at: Frames, field: str, direction: str) -> Pair:
     """From the as-of column that scoring attaches; a lower value is better only if it is above 0."""
     value = F.col(field)
     ok = value.isNotNull() & ~F.isnan(value)
@@ -219,8 +310,8 @@ KERNELS: dict[str, Callable[..., Pair]] = {
 }
 
 
-def kernel(kind: str, **params) -> Pair:
+def kernel(kind: str, at: Frames, **params) -> Pair:
     """The pair of a kind; unknown kinds report an error in every row."""
     if kind not in KERNELS:
         return F.lit(None).cast("double"), F.lit(ERROR)
-    return KERNELS[kind](**params)
+    return KERNELS[kind](at, **params)

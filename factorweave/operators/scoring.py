@@ -40,8 +40,8 @@ def fundamentals_asof(signals: DataFrame, fundamentals: DataFrame) -> DataFrame:
     return signals.join(found, ["ticker", "signal_date"], "left")
 
 
-def _melted(wide: DataFrame, factors: list[Factor]) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(f.name).alias("factor"), F.col(f"s{i}").alias("score"), F.col(f"w{i}").alias("reason")) for i, f in enumerate(factors)))
+def _melted(wide: DataFrame, factors: list[Factor], pairs: dict[str, kernels.Pair]) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(f.name).alias("factor"), pairs[f.name][0].alias("score"), pairs[f.name][1].alias("reason")) for f in factors))
     long = wide.select("ticker", "signal_date", F.explode(rows).alias("x")).select("ticker", "signal_date", "x.*")
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     reason = F.when(F.col("reason") != "", F.col("reason")).when(finite, "").otherwise(kernels.ERROR)
@@ -49,19 +49,21 @@ def _melted(wide: DataFrame, factors: list[Factor]) -> DataFrame:
 
 
 def base_scores(prices: DataFrame, dates: list, factors: list[Factor], fundamentals: DataFrame | None = None) -> DataFrame:
-    """Scores of factors that aren't blends, in long form: one pass over the prices for all of them."""
-    windowed = [f for f in factors if f.kind != "fundamental"]
-    pairs = {f.name: kernels.kernel(f.kind, **f.params) for f in factors}
-    columns = {f"{p}{i}": pairs[f.name][k] for i, f in enumerate(factors) if f in windowed for k, p in enumerate("sw")}
-    at = signal_rows(kernels.prepared(prices).select("ticker", "date", *(c.alias(n) for n, c in columns.items())), dates)
+    """Scores of factors that aren't blends, in long form: one pass over the prices for all of them.
+
+    Every frame that the factors need is made once; its aggregates and the factors are evaluated at signal rows alone.
+    """
+    frames = kernels.Frames()
+    pairs = {f.name: kernels.kernel(f.kind, frames, **f.params) for f in factors}
+    at = signal_rows(kernels.prepared(prices).select("ticker", "date", *frames.lags.values(), *frames.trail()), dates)
+    at = frames.aggregated(at)
     needed = sorted({f.params["field"] for f in factors if f.kind == "fundamental"})
     if needed:
         have = [n for n in needed if fundamentals is not None and n in fundamentals.columns]
         if have:
             at = fundamentals_asof(at, fundamentals.select("ticker", "as_of_date", "available_at", *have))
         at = at.withColumns({n: F.lit(None).cast("double") for n in needed if n not in have})
-        at = at.withColumns({f"{p}{i}": pairs[f.name][k] for i, f in enumerate(factors) if f.kind == "fundamental" for k, p in enumerate("sw")})
-    return _melted(at, factors)
+    return _melted(at, factors, pairs)
 
 
 def blended(scores: DataFrame, blends: list[Factor]) -> DataFrame:
@@ -81,9 +83,11 @@ def factor_scores(prices: DataFrame, dates: list, names: Iterable[str], fundamen
     names = validated(names)
     every = [REGISTRY[n] for n in with_parts(names)]
     base, blends = [f for f in every if f.kind != "composite"], [f for f in every if f.kind == "composite"]
-    scores = base_scores(prices, dates, base, fundamentals)
+    scores = base_scores(prices, dates, [f for f in base if f.name in names], fundamentals)
     if blends:
-        scores = scores.unionByName(blended(scores, blends))
+        # a plan of their own for the parts: few of the factors, so few of the frames
+        parts = {p for f in blends for p in f.parts}
+        scores = scores.unionByName(blended(base_scores(prices, dates, [f for f in base if f.name in parts], fundamentals), blends))
     return ranked(scores.where(F.col("factor").isin(names)))
 
 
