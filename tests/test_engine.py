@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factorweave.functions import registry
 from factorweave.operators import calendar, diagnostics, kernels, metrics, portfolio, scoring
-from factorweave.plans import pipeline
+from factorweave.plans import pipeline, publish
 from factorweave.sources import loaders, sinks, symbols
 
 
@@ -163,3 +163,22 @@ def test_export_and_run(spark, tmp_path):
     with pytest.raises(ValueError):
         pipeline.run(spark, pipeline.RunConfig(min_tickers=10), table, universe(spark, list("ABC")))
     assert sinks.source_hash([tmp_path / "x.csv"]) and table.select(sinks.safe_text("ticker").alias("t")).where(F.col("t") == "A").count() == 40
+
+
+def test_publish(spark, tmp_path):
+    table = prices(spark, [(t, str(day("2023-01-31") + dt.timedelta(31 * i))[:10], 100.0 + (k + 1) * i) for k, t in enumerate("ABC") for i in range(40)])
+    found = pipeline.run(spark, pipeline.RunConfig(factors=("reversal_3d", "reversal_5d"), rules=portfolio.Rules(top_n=2)), table, universe(spark, list("ABC")))
+    meta = {"provider": "csv", "source": "csv:/secret/path", "price_coverage_ratio": 0.5, "caveats": ["<b>"]}
+    publish.write_artifacts(found, tmp_path / "run", meta, {"top_n": 2}, table)
+    payload = publish.write_site(tmp_path / "run", tmp_path / "site" / "latest.json", generated_at="now")
+    assert payload["summary"]["ranking_count"] == 2 and payload["summary"]["best_factor"] == payload["rankings"][0]["factor"] and payload["rankings"][0]["rank"] == 1
+    assert len(payload["latest_holdings"]) == 2 and payload["metadata"]["source_kind"] == "csv" and "source" not in payload["metadata"]
+    assert payload["factor_period_returns"] and isinstance(payload["factor_period_returns"][0]["return"], float) and payload["benchmark_returns"] == []
+    short = publish.public_summary(payload)
+    assert short["status"] == {"state": "degraded", "degradedReasons": ["price coverage below 90%"]} and len(short["primaryEntities"]) == 2
+    assert (tmp_path / "site" / "summary.json").exists() and "<meter" in (tmp_path / "run" / "report.html").read_text() and (tmp_path / "run" / "report.md").read_text()
+    assert spark.read.option("header", True).csv(str(tmp_path / "run" / "prices_snapshot")).count() == table.count()
+    (tmp_path / "run" / "factor_metrics.csv").unlink()
+    with pytest.raises(FileNotFoundError):
+        publish.site_payload(tmp_path / "run")
+    assert publish.number("nan") is None and publish.number(" 3.9 ", True) == 3 and publish.source_kind({"source": "yahoo_chart:x"}) == "yahoo_chart"
