@@ -204,7 +204,63 @@ def _asof(spark, sf_dir):
     return scoring.base_scores(prices, dates, [factor], panel.fundamentals(spark, sf_dir)).select("ticker", "signal_date", "score", "skip_reason")
 
 
-@_query("zoo_scores", None)
+def _reason_sql(f: Factor) -> str:
+    """SQL for why a factor has no score in a row of ``y``; fundamentals and blends are judged apart."""
+    p = f.params
+    w, short, long, skip = p.get("window", 0), p.get("short", 0), p.get("long", 0), p.get("skip", 0)
+    sd = lambda n: f"stddev_pop(r) {_o(n)} > 0"
+    start = lambda n: f"coalesce({_lag('c', n)} > 0, false)"
+    traded = lambda n: f"count(case when dv > 0 then 1 end) {_o(n)} = {n}"
+    simple = {
+        "momentum": lambda: start(p["lookback"]),
+        "reversal": lambda: start(p["lookback"]),
+        "volatility": lambda: _full("rng" if p["measure"] == "range" else "r", w),
+        "return_skew": lambda: f"{_full('r', w)} and {sd(w)}",
+        "return_kurtosis": lambda: f"{_full('r', w)} and {sd(w)}",
+        "tail_loss": lambda: _full("r", w),
+        "trend_efficiency": lambda: start(w),
+        "return_consistency": lambda: _full("r", w),
+        "risk_adjusted_momentum": lambda: f"{start(p['lookback'])} and {_full('r', p['vol_window'])} and {sd(p['vol_window'])}",
+        "liquidity": lambda: f"n >= {w}",
+        "moving_average_gap": lambda: f"n >= {w} and avg(c) {_o(w)} > 0",
+        "moving_average_cross": lambda: f"n >= {long} and avg(c) {_o(long)} > 0",
+        "range_position": lambda: f"n >= {w} and max(high) {_o(w)} > min(low) {_o(w)}",
+        "drawdown_high": lambda: f"n >= {w} and max(c) {_o(w)} > 0",
+        "breakout_strength": lambda: f"n > {w} and max(high) {_W.format(w, '1 preceding')} > 0",
+        "range_contraction": lambda: f"n >= {long} and {_full('rng', long)} and avg(rng) {_o(long)} > 0",
+        "overnight_return": lambda: f"n > {w} and {_full('gap', w)}",
+        "intraday_return": lambda: _full("day", w),
+        "acceleration": lambda: f"{start(short)} and {start(long)} and {skip} < {short}",
+    }
+    if f.kind in simple:
+        return _ok(simple[f.kind]())
+    early, volume = {
+        "illiquidity": (f"not ({_full('r', w)})", traded(w)),
+        "volume_trend": (f"n < {long}", f"avg(dv) {_o(long)} > 0"),
+        "volume_shock": (f"n < {long}", traded(long)),
+        "price_volume_corr": (f"n <= {w}", _full("dvc", w)),
+    }[f.kind]
+    flat = f" when not ({_full('r', w)} and {sd(w)} and stddev_pop(dvc) {_o(w)} > 0) then 'insufficient_history'" if f.kind == "price_volume_corr" else ""
+    return f"case when {early} then 'insufficient_history' when not ({volume}) then 'insufficient_volume'{flat} else '' end"
+
+
+def _zoo_sql() -> str:
+    every = registry.REGISTRY.values()
+    wide = ", ".join(f'{_reason_sql(f)} as "{f.name}"' for f in every if f.kind not in ("fundamental", "composite"))
+    facts = ", ".join(f"('{f.name}', '{f.params['field']}')" for f in every if f.kind == "fundamental")
+    parts = ", ".join(f"('{f.name}', '{part}', {len(f.parts)})" for f in every for part in f.parts)
+    return f"""{_BASE}, wide as (select ticker, date, nd, {wide} from y),
+seen as (select d as signal_date, wide.* exclude (date, nd) from wide join sig on d >= date and (nd is null or d < nd)),
+base as (unpivot seen on columns(* exclude (ticker, signal_date)) into name factor value skip_reason),
+known as (select ticker, min(available_at) as first from ({panel.FUNDAMENTALS_SQL}) group by 1),
+facts as (select f.factor, case when f.field in ('pe_ratio', 'return_on_equity') and k.first <= a.signal_date then '' else 'missing_fundamentals' end as skip_reason
+  from seen a left join known k on a.ticker = k.ticker, (values {facts}) f(factor, field)),
+blends as (select b.blend as factor, case when count_if(s.skip_reason = '') = max(b.parts) then '' else 'insufficient_history' end as skip_reason
+  from base s join (values {parts}) b(blend, part, parts) on s.factor = b.part group by b.blend, s.ticker, s.signal_date)
+select factor, skip_reason, count(*) as n from (select factor, skip_reason from base union all select * from facts union all select * from blends) group by 1, 2"""
+
+
+@_query("zoo_scores", _zoo_sql())
 def _zoo(spark, sf_dir):
     """All registered factors at once, counted by reason: the widest plan there is."""
     prices = panel.prices(spark, sf_dir)
