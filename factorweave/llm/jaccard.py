@@ -12,7 +12,8 @@ other texts the shuffle.
 
 * Shingles of very many documents (a bounded list, which only steers the work) stay out of the cells;
   a set that then has too few filled cells also joins by the rarest n/4 + 1 shingles, so that any two
-  such sets meet as well. The result never depends on the list.
+  such sets meet as well. Sets too small for cells have these keys alone, so every set that is small
+  enough to link with one of them has them too. The result never depends on the list.
 * Equal sets are one node. Groups of near copies are first compared with one hub each; then the members
   of a cell that are still in different components are compared by their bit sketches, blocks of a
   group at a time and without a row for each pair. No candidate is dropped.
@@ -37,7 +38,7 @@ from . import text as tx
 from .scratch import written
 
 SHINGLE = 5
-#: Sets smaller than this join by their rarest shingles alone.
+#: Sets smaller than this join by their rarest shingles alone; sets that can link with those, by them as well.
 SMALL = 16
 #: Ratio of the sizes at the ends of a band.
 BAND = 4
@@ -144,7 +145,7 @@ def cell_keys(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
         begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         xor = np.bitwise_xor.reduceat(rare[:end], begin)
         out.append(tx.mix(xor ^ tx.mix(cell[begin] + U64(1 + (k + 1 << 40)))))
-    if not sure:
+    if not sure or 3 * n < 4 * SMALL:
         order = rare if len(rare) == n else np.concatenate((rare, grams[is_common]))
         out.append(tx.mix(order[: n - -(-3 * n // 4) + 1] ^ U64(0x51ED270B)))
     return np.concatenate(out) if out else np.zeros(0, U64)

@@ -55,6 +55,24 @@ def test_jaccard_does_not_depend_on_the_common_list(docs, rows, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect()) == components(rows)
 
 
+def test_jaccard_links_small_sets_of_every_size(spark):
+    # a text of n shingles and longer, shorter and changed ones, each pair with words of its own
+    rows = []
+    for n in range(10, 26):
+        for more in range(-n // 3, n // 3 + 2):
+            for changed in (None, 0, n // 2):
+                own = [f"p{len(rows)}w{i}" for i in range(n + 4 + max(0, more))]
+                other = own[: n + 4 + more]
+                if changed is not None:
+                    other[changed] = "changed"
+                rows += [(len(rows), " ".join(own[: n + 4])), (len(rows) + 1, " ".join(other))]
+    expected = components(rows)
+    sizes = {i: len(shingles(t)) for i, t in rows}
+    assert {(sizes[i], sizes[c]) for i, _, c in expected if i != c} >= {(16, 15), (15, 16), (16, 12), (20, 15), (15, 20), (22, 17)}
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert Counter(tuple(r) for r in jaccard.jaccard_components(table).select("doc_id", "n_shingles", "component_id").collect()) == expected
+
+
 def test_one_of_each_group_stays(docs, rows):
     kept = jaccard.keep_one_of_each(docs)
     assert kept.columns == docs.columns
