@@ -420,8 +420,8 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return likely.join(wanted, same).select("node", "text")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id``, one row for each row of ``docs`` (doc_id, text)."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, n, label``, one row for each row of ``docs``; no label without words."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     facts = written(docs.mapInArrow(_facts, f"kind int, doc_id {id_type}, text_hash bigint, n bigint, node bigint, sketch array<bigint>"), "facts")
@@ -466,8 +466,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     more = verified(cut.mapInArrow(_near, "a bigint, b bigint").distinct())
     if not more.isEmpty():
         labels = linked_components(edges.union(more))
-    named = rows.join(labels, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
-    named = written(named, "named")
+    named = rows.join(labels, "node", "left").select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    return written(named, "named")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, one row for each row of ``docs`` (doc_id, text)."""
+    named = _labelled(docs)
     first = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     some = named.where("n > 0").join(first, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -475,10 +480,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's id; of repeated ids one row stays.
+    """One row of ``docs`` for each component: of its least id, and of that id's texts in it the one of least hash.
 
-    Rows without an id, and those without words, stay: nothing links to them.
+    An id with texts in several components stays in each where it is the least. Of repeated rows one stays.
+    Rows without words stay, as nothing links to them. Rows without an id all stay, copies of others too.
     """
-    found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    named = _labelled(docs).where("doc_id is not null")
+    found = named.where("n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    found = found.union(named.where("n = 0").select("doc_id", "text_hash").distinct())
+    rows = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"), F.struct("*").alias("row"))
+    kept = rows.join(found, (F.col("own_id") == F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_hash"]).select("row.*").union(docs.where("doc_id is null"))

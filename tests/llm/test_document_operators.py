@@ -81,6 +81,14 @@ def test_one_of_each_group_stays(docs, rows):
     assert kept.where("doc_id is null").count() == 3
 
 
+def test_one_of_each_goes_by_row(spark):
+    # repeated ids with different texts
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, d), (3, d), (4, c + " more"), (5, ""), (5, ""), (5, "one")]
+    kept = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (2, b), (3, c), (3, d), (5, ""), (5, "one")])
+
+
 def test_mixing(docs, rows, no_docs):
     out = mixing.with_copies(docs).collect()
     sizes = [len(split(t)) for _, t, *_ in rows]
