@@ -2,8 +2,9 @@
 
 Turns of a conversation are sorted and streamed: no conversation is held at once. The running sum of
 turn tokens opens a new window wherever the budget would be passed; windows are cut between turns only,
-so a turn longer than the budget stands in a window of its own. Every window repeats the system turn
-that opened the conversation and the last turns before it, as far as ``HISTORY`` tokens go. The loss
+so a turn longer than the budget is the one new turn of its window. Every window repeats the system turn
+that opened the conversation, however long it is, and the last turns before it, as far as the budget and
+``HISTORY`` tokens go. After a system turn that fills the budget each window has one new turn. The loss
 mask covers each assistant text in the one window where it is new; repeated ones are masked.
 
 A turn reads ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles every ``<``, backslashes,
@@ -88,7 +89,7 @@ class Windows:
             kept -= self.recent.popleft()[2]
 
     def open(self, coming: int) -> None:
-        again = [self.system] if self.system and self.system[2] < self.budget else []
+        again = [self.system] if self.system else []
         left = self.budget - coming - sum(t[2] for t in again)
         past: list[tuple[str, str, int]] = []
         for turn in reversed(self.recent):
@@ -133,9 +134,11 @@ def _formatting(budget: int, history: int):
                 if windows is None or conv != own:
                     if windows is not None:
                         rows.append((own, windows.close()))
+                        size += len(rows[-1][1]["formatted"])
                     windows, own = Windows(budget, history), conv
-                rows += [(own, row) for row in windows.add(role or "", text or "")]
-                size += len(text or "")
+                for row in windows.add(role or "", text or ""):
+                    rows.append((own, row))
+                    size += len(row["formatted"])
                 if size > 2 << 20 and rows:
                     yield out()
                     rows, size = [], 0

@@ -36,6 +36,15 @@ def test_chat_windows_keep_budget_system_and_history(spark):
     assert Counter(w.formatted[a:b] for w in windows for a, b in zip(w.loss_spans[::2], w.loss_spans[1::2], strict=True)) == Counter(x for _, _, r, x in rows if r == "assistant")
 
 
+def test_chat_windows_repeat_a_long_system_turn(spark):
+    long = "rule " * 600
+    rows = [(1, 0, "system", long)] + [(1, t, "user" if t % 2 else "assistant", f"turn {t} " + "word " * 20) for t in range(1, 9)]
+    windows = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).orderBy("window").collect()
+    turns = [chat.read_turns(w.formatted) for w in windows]
+    assert len(windows) > 3 and all(t[0] == ("system", long) for t in turns)
+    assert [x for w, t in zip(windows, turns, strict=True) for x in t[w.repeated :]] == [(r, x) for _, _, r, x in rows]
+
+
 @pytest.mark.parametrize("text", ["<|", "<\\|", "<\\\\\\|", "a<|b<\\|c", "<<||", "\\<|", "|<"])
 def test_escape_is_reversible(text):
     assert chat.unescape(chat.escape(text)) == text
