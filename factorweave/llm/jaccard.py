@@ -14,9 +14,12 @@ other texts the shuffle.
   a set that then has too few filled cells also joins by the rarest n/4 + 1 shingles, so that any two
   such sets meet as well. Sets too small for cells have these keys alone, so every set that is small
   enough to link with one of them has them too. The result never depends on the list.
-* Equal sets are one node. Groups of near copies are first compared with one hub each; then the members
-  of a cell that are still in different components are compared by their bit sketches, blocks of a
-  group at a time and without a row for each pair. No candidate is dropped.
+* Equal sets are one node, and a task emits the keys of a set once however many copies of it it reads.
+* Keys that many of a sample of documents have are hot (a bounded list, which only steers the work): their
+  members are dealt over many tasks and pass as they are, other keys are grouped each in one task.
+* Groups of near copies are first compared with one hub each; then the members of a cell that are still
+  in different components are compared by their bit sketches, blocks of a group at a time and without a
+  row for each pair. No candidate is dropped.
 * Links and components stay distributed; every step is cut by a table in the shared folder.
 
 Nulls and texts without words have empty sets and stay alone. Repeated rows share a node. A null id
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .scratch import written
+from .scratch import Scratch, written
 
 SHINGLE = 5
 #: Sets smaller than this join by their rarest shingles alone; sets that can link with those, by them as well.
@@ -50,6 +53,8 @@ REPORTED_FROM = 3
 SKETCH_BITS = 512
 #: Members of a group that are compared with as many others in one piece of work.
 BLOCK = 512
+#: Documents, at most, whose keys tell which keys are hot; from which share and number of them; tasks that share a hot key.
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST, HOT_TASKS = 50_000, 0.001, 32, 64
 #: Slots of the bitmap of wanted ids, and of one of its pieces.
 WANTED_SLOTS, PIECE_SLOTS = 1 << 24, 32_768
 
@@ -206,81 +211,112 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cells(common: np.ndarray):
+def _cells(common: np.ndarray, hot: np.ndarray):
+    """The keys of each different set of a task, with a number that deals the members of hot keys over tasks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
             for _, sets in shingle_sets(batch):
-                keys = [cell_keys(s, common) for s in sets]
-                nodes = np.repeat(np.array([node_id(s) if len(s) else 0 for s in sets], np.int64), [len(k) for k in keys])
-                keys = np.concatenate(keys) if keys else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["key", "node"])
+                keys, ids = [], []
+                for s in sets:
+                    node = node_id(s) if len(s) else 0
+                    if len(s) and node not in known:
+                        known.add(node)
+                        keys.append(cell_keys(s, common))
+                        ids.append(node)
+                if len(known) > 1_000_000:
+                    known.clear()
+                if not keys:
+                    continue
+                nodes = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
+                joined = np.concatenate(keys)
+                salt = np.where(_in(joined, hot), tx.mix(nodes.view(U64)) % U64(HOT_TASKS), U64(0)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(joined.view(np.int64)), pa.array(nodes), pa.array(salt)], ["key", "node", "salt"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def _shared(hot: np.ndarray):
     """From rows sorted by key and node: the members of each key with two nodes or more.
 
-    Keys with the same members get one signature, and a task reports it once as far as it remembers. A
-    group of over a million nodes passes through as it comes, under its own key.
+    Keys with the same members get one signature, and a task reports it once as far as it remembers. The
+    members of a hot key pass as they come, under the key itself. So does a group of over a million nodes.
     """
-    held, held_key, streaming, last = [], None, False, None
-    known: set[int] = set()
-
-    def out(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
-
-    def whole(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = np.empty(len(key), bool)
-        keep[:1] = True
-        keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[keep], node[keep]
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.append(begin, len(key)))
-        if not (sizes > 1).any():
-            return
-        sums = np.add.reduceat(tx.mix(node.view(U64)), begin)
-        sig = tx.mix(sums + sizes.astype(U64))
-        pick = sizes > 1
-        first = np.zeros(len(sig), bool)
-        first[np.unique(sig, return_index=True)[1]] = True
-        for i in np.flatnonzero(pick & first):
-            s = int(sig[i])
-            if s in known:
-                pick[i] = False
-            else:
-                known.add(s)
-        pick &= first
-        if len(known) > 1_000_000:
-            known.clear()
-        rows = np.repeat(pick, sizes)
-        if rows.any():
-            yield out(np.repeat(sig, sizes)[rows].view(np.int64), node[rows])
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if streaming:
-            same = int(np.searchsorted(key, held_key, "right"))
-            if same:
-                yield out(key[:same], node[:same])
-            key, node = key[same:], node[same:]
-            if not len(key):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_key, streaming = [], None, False
+        known: set[int] = set()
+
+        def out(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
+
+        def whole(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keep = np.empty(len(key), bool)
+            keep[:1] = True
+            keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node = key[keep], node[keep]
+            warm = _in(key.view(U64), hot)
+            if warm.any():
+                yield out(key[warm], node[warm])
+                key, node = key[~warm], node[~warm]
+                if not len(key):
+                    return
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.append(begin, len(key)))
+            if not (sizes > 1).any():
+                return
+            sums = np.add.reduceat(tx.mix(node.view(U64)), begin)
+            sig = tx.mix(sums + sizes.astype(U64))
+            pick = sizes > 1
+            first = np.zeros(len(sig), bool)
+            first[np.unique(sig, return_index=True)[1]] = True
+            for i in np.flatnonzero(pick & first):
+                s = int(sig[i])
+                if s in known:
+                    pick[i] = False
+                else:
+                    known.add(s)
+            pick &= first
+            if len(known) > 1_000_000:
+                known.clear()
+            rows = np.repeat(pick, sizes)
+            if rows.any():
+                yield out(np.repeat(sig, sizes)[rows].view(np.int64), node[rows])
+
+        for batch in batches:
+            if not len(batch):
                 continue
-            streaming, held = False, []
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if streaming:
+                same = int(np.searchsorted(key, held_key, "right"))
+                if same:
+                    yield out(key[:same], node[:same])
+                key, node = key[same:], node[same:]
+                if not len(key):
+                    continue
+                streaming, held = False, []
+            if held:
+                key, node = np.concatenate((*[h[0] for h in held], key)), np.concatenate((*[h[1] for h in held], node))
+            tail = int(np.searchsorted(key, key[-1], "left"))
+            if tail:
+                yield from whole(key[:tail], node[:tail])
+            key, node = key[tail:], node[tail:]
+            held, held_key = [(key, node)], key[-1]
+            if len(key) > 1_000_000 and node[0] != node[-1]:
+                yield out(key, node)
+                streaming, held = True, []
         if held:
-            key, node = np.concatenate((*[h[0] for h in held], key)), np.concatenate((*[h[1] for h in held], node))
-        tail = int(np.searchsorted(key, key[-1], "left"))
-        if tail:
-            yield from whole(key[:tail], node[:tail])
-        key, node = key[tail:], node[tail:]
-        held, held_key = [(key, node)], key[-1]
-        if len(key) > 1_000_000 and node[0] != node[-1]:
-            yield out(key, node)
-            streaming, held = True, []
-    if held:
-        yield from whole(*held[0])
+            yield from whole(*held[0])
+
+    return run
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,18 +415,22 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked_components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node reachable over ``a, b`` edges, by neighbours' labels and pointer jumps."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        lower = written(lower, "lower")
-        target = lower.select(F.col("node").alias("at"), F.col("label").alias("jump"))
-        after = lower.join(target, lower.label == target.at, "left").select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        after = written(after, "labels")
-        labels = after.select("node", "label")
-        if after.where("label <> old").isEmpty():
-            return labels
+    with Scratch(edges.sparkSession) as scratch:
+        both = scratch.written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
+        labels = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+        table = labels
+        while True:
+            near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+            lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+            lower = scratch.written(lower, "lower")
+            scratch.drop(table)
+            target = lower.select(F.col("node").alias("at"), F.col("label").alias("jump"))
+            after = lower.join(target, lower.label == target.at, "left").select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
+            table = scratch.written(after, "labels")
+            scratch.drop(lower)
+            labels = table.select("node", "label")
+            if table.where("label <> old").isEmpty():
+                return written(labels, "components")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -420,35 +460,65 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return likely.join(wanted, same).select("node", "text")
 
 
+def _hot_keys(docs: DataFrame, n_docs: int, common: np.ndarray) -> np.ndarray:
+    """Keys that a noticeable share of a sample of documents has, sorted; the sample is drawn by a hash of the id."""
+    share = min(1 << 30, int((1 << 30) * HOT_SAMPLE / max(1, n_docs)))
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit("hot keys"), "doc_id"), F.lit(1 << 30)) < share)
+    cells = drawn.select("text").mapInArrow(_cells(common, np.zeros(0, U64)), "key bigint, node bigint, salt int")
+    least = max(HOT_LEAST, int(HOT_SHARE * min(n_docs, HOT_SAMPLE)))
+    found = cells.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(COMMON_LISTED)
+    return np.sort(np.array([r.key for r in found.collect()], np.int64).view(U64))
+
+
+def _once(groups: DataFrame, hot: np.ndarray, scratch: Scratch) -> DataFrame:
+    """``groups`` without the hot keys that have the same members as another."""
+    spark = groups.sparkSession
+    listed = F.broadcast(spark.createDataFrame([(int(k),) for k in hot.view(np.int64)], "sig bigint"))
+    prints = groups.join(listed, "sig", "left_semi").groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    first = prints.groupBy("n", "x", "y").agg(F.min("sig").alias("first"))
+    spare = prints.join(first, ["n", "x", "y"]).where("sig <> first or n < 2").select("sig")
+    return groups.join(F.broadcast(scratch.written(spare, "spare")), "sig", "left_anti")
+
+
 def _labelled(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, n, label``, one row for each row of ``docs``; no label without words."""
+    with Scratch(docs.sparkSession) as scratch:
+        return _labelled_with(docs, scratch)
+
+
+def _labelled_with(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    facts = written(docs.mapInArrow(_facts, f"kind int, doc_id {id_type}, text_hash bigint, n bigint, node bigint, sketch array<bigint>"), "facts")
+    facts = scratch.written(docs.mapInArrow(_facts, f"kind int, doc_id {id_type}, text_hash bigint, n bigint, node bigint, sketch array<bigint>"), "facts")
     common = facts.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
     common = np.sort(np.array([r.node for r in common.orderBy(F.desc("n"), "node").limit(COMMON_LISTED).collect()], np.int64).view(U64))
     rows = facts.where("kind = 0")
-    cells = docs.select("text").mapInArrow(_cells(common), "key bigint, node bigint")
-    groups = cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "sig bigint, node bigint")
-    groups = written(groups.distinct(), "groups")
+    hot = _hot_keys(docs, rows.count(), common)
+    cells = docs.select("text").mapInArrow(_cells(common, hot), "key bigint, node bigint, salt int")
+    groups = cells.repartition("key", "salt").sortWithinPartitions("key", "node").select("key", "node").mapInArrow(_shared(hot), "sig bigint, node bigint")
+    groups = scratch.written(groups.distinct(), "groups")
+    if len(hot):
+        groups = _once(groups, hot, scratch)
     members = groups.select("node").distinct()
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("one")).select("node", "n", "sketch", "one.*")
-    nodes = written(nodes.join(members, "node", "left_semi"), "nodes")
+    nodes = scratch.written(nodes.join(members, "node", "left_semi"), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.select("a", "b"), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = written(nodes.join(ends, "node", "left_semi").select("doc_id", "text_hash", "node"), "wanted")
-        sets = _fetched(docs, wanted).mapInArrow(_set_rows, "node bigint, found bigint, grams binary").where("node = found")
-        sets = written(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
-        ga = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
-        gb = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
-        return written(pairs.join(ga, "a").join(gb, "b").mapInArrow(_similar, "a bigint, b bigint"), "edges")
+        with Scratch(docs.sparkSession) as own:
+            pairs = own.written(pairs.select("a", "b"), "pairs")
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            wanted = own.written(nodes.join(ends, "node", "left_semi").select("doc_id", "text_hash", "node"), "wanted")
+            sets = _fetched(docs, wanted).mapInArrow(_set_rows, "node bigint, found bigint, grams binary").where("node = found")
+            sets = own.written(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
+            ga = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
+            gb = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
+            return scratch.written(pairs.join(ga, "a").join(gb, "b").mapInArrow(_similar, "a bigint, b bigint"), "edges")
 
     # a group's hub is the member that shares most with all others: likely what its copies were made from
     sizes = groups.groupBy("sig").agg(F.count("*").alias("size"))
     weights = groups.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("weight"))
     hubs = groups.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("hub")).select("sig", F.col("hub.node").alias("b"))
+    hubs = scratch.written(hubs, "hubs")
     spokes = groups.join(hubs, "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("cells"))
     best = spokes.groupBy("a").agg(F.max(F.struct("cells", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     best = _close(best, nodes)
@@ -456,7 +526,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     labels = linked_components(edges)
     tagged = groups.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     mixed = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    open_ = written(tagged.join(mixed, "sig", "left_semi"), "open")
+    open_ = scratch.written(tagged.join(mixed, "sig", "left_semi"), "open")
     pieces = open_.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
     cut = open_.join(pieces, "sig").join(nodes.select("node", "n", "sketch"), "node")
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
@@ -473,7 +543,8 @@ def _labelled(docs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row for each row of ``docs`` (doc_id, text)."""
     named = _labelled(docs)
-    first = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join can split the rows of a giant component
+    first = written(named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")), "first")
     some = named.where("n > 0").join(first, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.union(none)

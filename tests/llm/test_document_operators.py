@@ -55,6 +55,29 @@ def test_jaccard_does_not_depend_on_the_common_list(docs, rows, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect()) == components(rows)
 
 
+def test_jaccard_does_not_depend_on_hot_keys(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 2)
+    assert Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect()) == components(rows)
+
+
+def test_jaccard_keys_meet_at_every_size():
+    # least similar sets that still link, sizes 1 to 400 and each band's border, with several common lists
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    borders = [jaccard.SMALL * jaccard.BAND**k + d for k in range(6) for d in (-1, 0, 1)]
+    for a in sorted({*range(1, 401), *borders}):
+        for b in sorted({a, a + 1, 4 * a // 3, int(rng.integers(a, 4 * a // 3 + 1)), *(x for x in borders if a <= x <= 4 * a // 3)}):
+            shared = -(-75 * (a + b) // 175)
+            if shared > a:
+                continue
+            pool = rng.integers(0, 1 << 63, a + b - shared, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+            one, two = np.sort(pool[:a]), np.sort(pool[a - shared :])
+            for listed in (0.0, 0.5, 1.0):
+                common = np.sort(pool[rng.random(len(pool)) < listed])
+                assert len(np.intersect1d(jaccard.cell_keys(one, common), jaccard.cell_keys(two, common))), (a, b, listed)
+
+
 def test_jaccard_links_small_sets_of_every_size(spark):
     # a text of n shingles and longer, shorter and changed ones, each pair with words of its own
     rows = []
@@ -123,6 +146,29 @@ def test_sharding(docs, rows, no_docs):
     assert sharding.sharded(no_docs).count() == 0
 
 
+def test_sharding_does_not_depend_on_partitions(spark, docs, rows, tmp_path):
+    slots = lambda df: Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.sharded(df, shards=3, bucket_bytes=4096, bucket_rows=10).collect())
+    assert slots(docs) == slots(docs.repartition(7)) == slots(docs.orderBy("text").coalesce(1))
+    sharding.write_shards(docs, str(tmp_path / "shards"), 3)
+    found = 0
+    for name in (tmp_path / "shards").rglob("*.parquet"):
+        run = [r.slot for r in spark.read.parquet(str(name)).collect()]
+        assert run == list(range(run[0], run[0] + len(run)))
+        found += len(run)
+    assert found == len(rows)
+
+
+def test_sharding_draws_are_fisher_yates(spark):
+    # the exchanges, one by one, with the draws that the same hashes give
+    draws = spark.range(1, 40).select(F.pmod(F.xxhash64(F.lit(7), F.lit(3), F.col("id").cast("int")), F.col("id") + 1).alias("j")).orderBy("id").collect()
+    expected = list(range(40))
+    for i in range(39, 0, -1):
+        j = draws[i - 1].j
+        expected[i], expected[j] = expected[j], expected[i]
+    assert spark.range(1).select(sharding._permutation(F.lit(40), 7, F.lit(3)).alias("p")).first().p == expected
+    assert spark.range(1).select(sharding._permutation(F.lit(1), 7, F.lit(3)).alias("p")).first().p == [0]
+
+
 def brute_hits(text, items):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
     hit, found = [False] * len(w), set()
@@ -160,6 +206,21 @@ def test_media_round_trip(spark, docs, rows, no_docs):
     assert all(r.error and r.pcm is None for r in media.read_media(broken).collect())
 
 
+def test_media_reads_every_codec_and_survives_bad_files(spark, docs):
+    out = media.read_media(media.store_payloads(docs)).collect()
+    assert {r.codec for r in out} == {media.MU_LAW, media.A_LAW, media.IMA_ADPCM} and not any(r.error for r in out)
+    for r in out:
+        tag, rate, block, data = media.read_wav(bytes(r.media))
+        assert bytes(r.pcm) == media.resample(media.decode(tag, data, block), rate).astype("<i2").tobytes()
+    wav = media.wav_file
+    bad = [wav(b"ab", rate=0), wav(b"ab", rate=1), wav(b"ab", channels=2), wav(b"abc", media.PCM, block=3, bits=24), wav(b"ab", media.IMA_ADPCM, block=0, bits=4), wav(b"ab")[:-3], b"", None, wav(b"ab", 0x55)]
+    good = [wav(b"abcd", media.PCM, block=2, bits=16), wav(b"ab", media.PCM), wav(b"", media.A_LAW), wav(b"", media.IMA_ADPCM, block=36, bits=4), wav(b"abcdefg", media.IMA_ADPCM, block=5, bits=4)]
+    table = spark.createDataFrame([(i, None if m is None else bytearray(m), 1) for i, m in enumerate(bad + good)], "doc_id bigint, media binary, pcm int")
+    rows = {r.doc_id: r for r in media.read_media(table).collect()}
+    assert all(rows[i].error and rows[i].pcm is None for i in range(len(bad)))
+    assert not any(rows[len(bad) + i].error for i in range(len(good)))
+
+
 def test_telephony_codecs():
     assert list(media.MU_TABLE[[0x00, 0x7F, 0x80, 0xFF]]) == [-32124, 0, 32124, 0]
     assert list(media.A_TABLE[[0x55, 0xD5, 0x2A, 0xAA]]) == [-8, 8, -32256, 32256]
