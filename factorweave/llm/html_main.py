@@ -1,15 +1,20 @@
 """HTML extraction by minimum-cut labelling.
 
-A page is cut into text blocks at block-level tags. A linear classifier over tags, class and id words,
-length, links and punctuation gives each block a cost of being content and one of being boilerplate:
-its capacities to the two terminals. Neighbouring blocks and siblings are tied by edges that weigh more
-the nearer the blocks stand in the DOM. The maximum flow between the terminals gives the cheapest
-labelling; blocks on the content side of the cut are joined in page order.
-
-Unclosed and misnested tags are repaired the way browsers do for paragraphs; scripts, styles, comments
-and other invisible text never form blocks. Null html counts as empty and gives an empty text. Repeated
-rows are handled alike; extra columns are ignored; very long pages take time in proportion to their
-length. An empty table gives an empty result.
+A page becomes a graph. Its nodes are the text blocks (runs of text between block-level tags) and the
+elements whose tag, class, id or role tells content or boilerplate. A linear classifier gives each node a
+cost of being content and one of being boilerplate, its capacities to the two terminals: text blocks by
+length, links, punctuation and tag, elements by their cue, once for each block inside. Edges are what it
+costs to part two nodes: a block and the nearest such element around it, such an element and the next one
+around it (DOM proximity), blocks that follow each other, less the farther apart they stand in the DOM,
+and blocks of one parent. The maximum flow between the terminals gives the cheapest labelling; blocks on
+the content side of the cut are joined in page order. No block inherits a score: what an element tells
+reaches its blocks over the edges of the cut alone.
+
+Pages are read in one pass: a tag that the page's end cuts off is dropped, a quote that is never closed
+ends at the next ``>``. Unclosed and misnested tags are repaired the way browsers do for paragraphs;
+scripts, styles, comments and other invisible text never form blocks. Null html counts as empty and gives
+an empty text. Repeated rows are handled alike; extra columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ from pyspark.sql import DataFrame
 
 from . import text as tx
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_OPENS = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|!--|!\[CDATA\[|[!?])")
+#: The rest of a tag up to its end; a quote counts only as the beginning of a value.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -34,6 +41,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption head".split()
 )
 _SPACED = frozenset("br td th img".split())
+_INLINE = frozenset("p b i a span em strong".split())
+_BARRIER = frozenset("article main td body".split())
 
 #: Words of classes, ids and roles that tell boilerplate or content.
 _BAD = frozenset(
@@ -42,14 +51,21 @@ _BAD = frozenset(
     "share sharing social follow related recommended recommendations trending popular teaser more tags tag byline meta author rating search toolbar skip hidden print complementary contentinfo".split()
 )
 _GOOD = frozenset("article content main post entry story text body prose maincontent articlebody".split())
-_TAG_SCORE = {"nav": -10.0, "footer": -10.0, "aside": -10.0, "form": -10.0, "menu": -10.0, "dialog": -10.0, "button": -10.0, "search": -10.0, "fieldset": -6.0, "header": -8.0, "article": 5.0, "main": 4.0, "address": -3.0}
+_TAG_CUE = {"nav": -10.0, "footer": -10.0, "aside": -10.0, "form": -10.0, "menu": -10.0, "dialog": -10.0, "button": -10.0, "search": -10.0, "fieldset": -6.0, "header": -8.0, "article": 5.0, "main": 4.0, "address": -3.0}
 _BLOCK_SCORE = {"p": 0.7, "h1": 1.5, "h2": 0.8, "h3": 0.6, "h4": 0.4, "blockquote": 0.5, "pre": 0.5, "li": -0.2, "td": -0.2}
+
+#: Costs are whole numbers of this part.
 _SCALE = 16
+#: What it costs to part a block from the element around it that bears a cue, above any block's own cost, and such elements.
+_HELD, _NESTED = 6 * _SCALE, 8 * _SCALE
+#: What it costs to part blocks that follow each other, at most, and blocks of one parent.
+_NEXT, _SIBLING = 2 * _SCALE, _SCALE
 
 
 @lru_cache(maxsize=65_536)
-def _cue(tag: str, attributes: str) -> float:
-    score = _TAG_SCORE.get(tag, 0.0)
+def cue(tag: str, attributes: str) -> float:
+    """What an element tells of the text inside: above 0 content, below 0 boilerplate."""
+    score = _TAG_CUE.get(tag, 0.0)
     if attributes and tag not in ("html", "body", "p", "a", "span", "b", "i", "em", "strong"):
         bad = good = hidden = False
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -65,7 +81,7 @@ def _cue(tag: str, attributes: str) -> float:
         if hidden:
             score -= 12.0
         elif tag in ("article", "main"):
-            score -= 12.0 * (bad and not good)
+            score -= 15.0 * (bad and not good)
         elif bad:
             score -= 10.0
         elif good and score >= 0:
@@ -79,95 +95,142 @@ def _closing(tag: str) -> re.Pattern:
 
 
 class Block:
-    __slots__ = ("depth", "linked", "parents", "score", "tag", "text")
-
-    def __init__(self, text: str, linked: int, tag: str, score: float, parents: tuple[int, ...]):
-        self.text, self.linked, self.tag, self.score, self.parents = text, linked, tag, score, parents
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page with the sums of their ancestors' cues."""
-    out: list[Block] = []
-    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, True)]
-    parts: list[str] = []
-    linked = links = number = at = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            parts.clear()
+    """A run of text: its tag, how much of it is linked, the element with a cue around it, its parent and how far the block before it is."""
+
+    __slots__ = ("apart", "around", "linked", "parent", "tag", "text")
+
+    def __init__(self, text: str, linked: int, tag: str, around: int, parent: int, apart: int):
+        self.text, self.linked, self.tag, self.around, self.parent, self.apart = text, linked, tag, around, parent, apart
+
+
+class Reader:
+    """One pass over a page: ``blocks``, and of each element with a cue the cue and the next such element around it (-1: none)."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.cues: list[tuple[float, int]] = []
+        #: Open elements: tag, number, whether block-level, the nearest element with a cue.
+        self.stack: list[tuple[str, int, bool, int]] = [("", 0, True, -1)]
+        self.open: dict[str, list[int]] = {"": [0]}
+        self.barriers: list[int] = []
+        self.levels: list[int] = [0]
+        self.parts: list[str] = []
+        self.linked = self.links = self.number = 0
+        self.low = self.last = 0
+        self._read(page)
+
+    def _push(self, tag: str, attributes: str) -> None:
+        self.number += 1
+        around = self.stack[-1][3]
+        told = cue(tag, attributes)
+        if tag == "header" and around >= 0 and self.cues[around][0] > 0:
+            told = max(told, -2.0)
+        if told:
+            self.cues.append((told, around))
+            around = len(self.cues) - 1
+        at = len(self.stack)
+        self.stack.append((tag, self.number, tag in _BLOCK, around))
+        self.open.setdefault(tag, []).append(at)
+        if tag in _BARRIER:
+            self.barriers.append(at)
+        if tag in _BLOCK:
+            self.levels.append(at)
+
+    def _cut(self, to: int) -> None:
+        """Close the open elements from a place on."""
+        while len(self.stack) > to:
+            tag, _, is_block, _ = self.stack.pop()
+            self.open[tag].pop()
+            if tag in _BARRIER:
+                self.barriers.pop()
+            if tag == "a":
+                self.links = max(0, self.links - 1)
+            if is_block:
+                self.levels.pop()
+        self.low = min(self.low, len(self.levels))
+
+    def _flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
+            self.parts.clear()
             if text:
-                k = len(stack) - 1
-                while not stack[k][3]:
-                    k -= 1
-                out.append(Block(text, min(linked, len(text)), stack[k][0], stack[-1][1], tuple(s[2] for s in stack[: k + 1] if s[3])))
-            linked = 0
+                deep = len(self.levels)
+                shared = min(self.low, deep)
+                own = self.stack[self.levels[-1]]
+                parent = self.stack[self.levels[-2]][1] if deep > 1 else 0
+                self.blocks.append(Block(text, min(self.linked, len(text)), own[0], self.stack[-1][3], parent, max(0, self.last + deep - 2 * shared - 2)))
+                self.last = self.low = deep
+            self.linked = 0
+
+    def _end_tag(self, tag: str) -> None:
+        if tag in _BLOCK:
+            self._flush()
+        found = self.open.get(tag)
+        if found and (tag not in _INLINE or not self.barriers or self.barriers[-1] < found[-1]):
+            self._cut(found[-1])
 
-    while True:
-        found = _TAG.search(page, at)
-        if found is None:
-            parts.append(page[at:])
-            break
-        begin = found.start()
-        if begin > at:
-            parts.append(page[at:begin])
-            if links:
-                linked += begin - at
-        at = found.end()
-        tag = found[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if found[1]:
-            if tag in _BLOCK:
-                flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    if tag == "a":
-                        links = max(0, links - 1)
-                    break
-                if stack[k][0] in ("article", "main", "td", "body") and tag in ("p", "b", "i", "a", "span", "em", "strong"):
-                    break
-            continue
-        if tag in _SKIPPED and not found[3].endswith("/"):
-            end = _closing(tag).search(page, at)
-            if end is None:
-                if tag in ("script", "style", "title", "textarea"):
-                    break
-                continue
-            at = page.find(">", end.start()) + 1 or len(page)
-            continue
+    def _start_tag(self, tag: str, attributes: str) -> None:
         if tag in _SPACED:
-            parts.append(" ")
+            self.parts.append(" ")
         if tag in _BLOCK:
-            flush()
-            for k in range(len(stack) - 1, 0, -1):
-                name = stack[k][0]
+            self._flush()
+            for k in range(len(self.stack) - 1, 0, -1):
+                name = self.stack[k][0]
                 if name == "p" or name == "li" == tag or name == tag and tag in ("dt", "dd", "tr"):
-                    del stack[k:]
+                    self._cut(k)
                     break
-                if stack[k][3] and name not in ("p", "li"):
+                if self.stack[k][2]:
                     break
-        if tag in _VOID:
-            continue
-        if tag == "a":
-            links += 1
-        number += 1
-        score = stack[-1][1]
-        cue = _cue(tag, found[3])
-        if tag == "header" and score >= 4:
-            cue = max(cue, -2.0)
-        stack.append((tag, max(score, cue) if tag in ("article", "main") and 0 < score else score + cue, number, tag in _BLOCK))
-    flush()
-    return out
+        if tag not in _VOID:
+            self.links += tag == "a"
+            self._push(tag, attributes)
+
+    def _read(self, page: str) -> None:
+        at, size = 0, len(page)
+        unclosed: set[str] = set()
+        while True:
+            found = _OPENS.search(page, at)
+            begin = found.start() if found else size
+            if begin > at:
+                self.parts.append(page[at:begin])
+                if self.links:
+                    self.linked += begin - at
+            if found is None:
+                break
+            at, tag = found.end(), found[2]
+            if tag is None:
+                # comments, CDATA and declarations end at their own mark or with the page
+                mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(found[0], ">")
+                end = page.find(mark, begin + 2 if mark == "-->" else at)
+                if end < 0:
+                    break
+                at = end + len(mark)
+                continue
+            end = _REST.match(page, at).end()
+            if end < size and page[end] != ">":
+                end = page.find(">", end)
+            if end < 0 or end >= size:
+                break
+            attributes, at, tag = page[at:end], end + 1, tag.lower()
+            if found[1]:
+                self._end_tag(tag)
+            elif tag in _SKIPPED and not attributes.endswith("/"):
+                close = None if tag in unclosed else _closing(tag).search(page, at)
+                if close is None:
+                    if tag in ("script", "style", "title", "textarea"):
+                        break
+                    unclosed.add(tag)
+                    continue
+                at = page.find(">", close.start()) + 1 or size
+            else:
+                self._start_tag(tag, attributes)
+        self._flush()
 
 
 def classify(block: Block) -> float:
-    """Above 0: likelier content. The two costs of a block are its positive and its negative part."""
+    """By a block's own text and tag; above 0: likelier content. Its two costs are the positive and the negative part."""
     n = len(block.text)
-    score = block.score + _BLOCK_SCORE.get(block.tag, 0.0)
+    score = _BLOCK_SCORE.get(block.tag, 0.0)
     score += 1.5 if n >= 200 else 0.8 if n >= 80 else 0.0 if n >= 25 else -0.8
     if block.linked > 0.5 * n:
         score -= 3.0
@@ -175,7 +238,7 @@ def classify(block: Block) -> float:
         score += 0.4
     if "©" in block.text or "All rights reserved" in block.text:
         score -= 2.0
-    if block.tag in ("div", "body", "", "html", "section") and block.score <= 0:
+    if block.tag in ("div", "body", "", "html", "section"):
         score -= 0.5
     return score
 
@@ -183,76 +246,111 @@ def classify(block: Block) -> float:
 def minimum_cut(unary: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Labels of the nodes: True on the source's side of a minimum cut.
 
-    ``unary`` above 0 is a node's capacity from the source, below 0 to the sink; edges hold both ways.
+    ``unary`` above 0 is a node's capacity from the source, below 0 to the sink; edges hold both ways. Flow
+    is sent along the shortest paths left, all of one length at a time (Dinic).
     """
     n = len(unary)
-    near: list[list[list[int]]] = [[] for _ in range(n)]
+    near: list[list[int]] = [[] for _ in range(n)]
+    to: list[int] = []
+    room: list[int] = []
     for a, b, w in edges:
-        near[a].append([b, w, len(near[b])])
-        near[b].append([a, w, len(near[a]) - 1])
+        near[a].append(len(to))
+        near[b].append(len(to) + 1)
+        to += (b, a)
+        room += (w, w)
     left = list(unary)
     while True:
-        came: list[tuple[int, int] | None] = [None] * n
+        # distances from the nodes that still have flow to give
+        level = [-1] * n
         queue = [i for i in range(n) if left[i] > 0]
-        reached = [left[i] > 0 for i in range(n)]
-        end = -1
         for i in queue:
-            for k, (j, w, _) in enumerate(near[i]):
-                if w > 0 and not reached[j]:
-                    reached[j] = True
-                    came[j] = (i, k)
-                    if left[j] < 0:
-                        end = j
-                        break
-                    queue.append(j)
-            if end >= 0:
+            level[i] = 0
+        reached = -1
+        for i in queue:
+            if 0 <= reached <= level[i]:
                 break
-        if end < 0:
-            return reached
-        path, j = [], end
-        while came[j] is not None:
-            path.append(came[j])
-            j = came[j][0]
-        flow = min(left[j], -left[end], *(near[i][k][1] for i, k in path))
-        left[j] -= flow
-        left[end] += flow
-        for i, k in path:
-            edge = near[i][k]
-            edge[1] -= flow
-            near[edge[0]][edge[2]][1] += flow
-
-
-def _ties(blocks: list[Block]) -> list[tuple[int, int, int]]:
+            for e in near[i]:
+                j = to[e]
+                if room[e] > 0 and level[j] < 0:
+                    level[j] = level[i] + 1
+                    if left[j] < 0 and reached < 0:
+                        reached = level[j]
+                    queue.append(j)
+        if reached < 0:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for start in range(n):
+            if left[start] <= 0:
+                continue
+            path: list[int] = []
+            at = start
+            while left[start] > 0:
+                if left[at] < 0:
+                    flow = min(left[start], -left[at], min(room[e] for e in path))
+                    left[start] -= flow
+                    left[at] += flow
+                    back = len(path)
+                    for k in range(len(path) - 1, -1, -1):
+                        e = path[k]
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                        if not room[e]:
+                            back = k
+                    if back < len(path):
+                        at = to[path[back] ^ 1]
+                        del path[back:]
+                    continue
+                ways = near[at]
+                k = tried[at]
+                while k < len(ways) and (room[ways[k]] <= 0 or level[to[ways[k]]] != level[at] + 1):
+                    k += 1
+                tried[at] = k
+                if k < len(ways):
+                    path.append(ways[k])
+                    at = to[ways[k]]
+                elif path:
+                    at = to[path.pop() ^ 1]
+                    tried[at] += 1
+                else:
+                    break
+
+
+def graph_of(read: Reader) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Costs and edges: first the blocks, then the elements with a cue."""
+    n = len(read.blocks)
+    inside = [0] * len(read.cues)
+    for block in read.blocks:
+        if block.around >= 0:
+            inside[block.around] += 1
     edges = []
+    for k in range(len(read.cues) - 1, -1, -1):
+        around = read.cues[k][1]
+        if around >= 0 and inside[k]:
+            inside[around] += inside[k]
+            edges.append((n + k, n + around, _NESTED * inside[k]))
     last: dict[int, int] = {}
-    for i, block in enumerate(blocks):
-        parent = block.parents[-2] if len(block.parents) > 1 else 0
+    for i, block in enumerate(read.blocks):
+        if block.around >= 0:
+            edges.append((i, n + block.around, _HELD))
         if i:
-            a, b = blocks[i - 1].parents, block.parents
-            shared = 0
-            for x, y in zip(a, b, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            apart = max(0, len(a) + len(b) - 2 * shared - 2)
-            edges.append((i - 1, i, max(1, 2 * _SCALE // (1 + apart))))
-        if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, _SCALE))
-        last[parent] = i
-    return edges
+            edges.append((i - 1, i, max(1, _NEXT // (1 + block.apart))))
+        if last.get(block.parent, i) < i - 1:
+            edges.append((last[block.parent], i, _SIBLING))
+        last[block.parent] = i
+    costs = [round(_SCALE * classify(b)) for b in read.blocks]
+    return costs + [round(_SCALE * told * k) for (told, _), k in zip(read.cues, inside, strict=True)], edges
+
+
+def labelled(page: str) -> list[tuple[Block, bool]]:
+    """The blocks of a page and whether the cut puts them to the content."""
+    read = Reader(page)
+    unary, edges = graph_of(read)
+    return list(zip(read.blocks, minimum_cut(unary, edges), strict=False))
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, two line feeds between them."""
-    blocks = blocks_of(page or "")
-    unary = [round(_SCALE * classify(b)) for b in blocks]
-    if all(u > 0 for u in unary):
-        keep = [True] * len(blocks)
-    elif all(u <= 0 for u in unary):
-        keep = [False] * len(blocks)
-    else:
-        keep = minimum_cut(unary, _ties(blocks))
-    return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n\n".join(b.text for b, keep in labelled(page or "") if keep)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -72,6 +72,35 @@ def test_html_main_text(spark):
     assert html_main.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_html_pages_cut_off_and_very_long():
+    import time
+
+    whole = "<p>A paragraph that is long enough to be kept as content, surely.</p>"
+    kept = "A paragraph that is long enough to be kept as content, surely."
+    for cut_off in ("<a " + "b" * 50_000, "<a href='x", '<a title="never closed', "<!-- never closed", "<", "</", "<!", "<script>x", "<svg>" * 3):
+        assert html_main.main_text(whole + cut_off).split("\n\n")[0] == kept
+    assert html_main.main_text(f"<a title='1>2' class=x>{whole}</a><i title=it's>{whole}").split("\n\n") == [kept, kept]
+    pages = [
+        "".join(f"<p>{kept if i % 2 else 'x'}</p>" for i in range(10_000)), "<div>x" * 10_000, "<div class=ad>x<article>" * 5_000, whole + '<a x="' * 20_001, "<svg>" * 20_000,
+        "<b><td>" + "<div>" * 10_000 + "</b>" * 10_000, "<" * 100_000, "".join(f"<div class={'content' if i % 3 else 'ad'}>{whole}<a href=x>link</a></div>" for i in range(4_000)),
+    ]
+    for page in pages:
+        began = time.time()
+        html_main.main_text(page)
+        assert time.time() - began < 5
+
+
+def test_html_cut_decides():
+    # blocks whose own cost says otherwise take the side of what stands around them, on the tables' pages as well
+    page = f"<article><p>{'A long sentence of the article. ' * 8}</p><p>Yes.</p><p>{'Another long sentence of it. ' * 8}</p></article><div class=sidebar><p>{'A long sentence of the sidebar. ' * 8}</p></div>"
+    labelled = html_main.labelled(page)
+    assert [(html_main.classify(b) > 0, keep) for b, keep in labelled] == [(True, True), (False, True), (True, True), (True, False)]
+    import pandas as pd
+
+    flipped = sum((html_main.classify(b) > 0) != keep for page in pd.read_parquet("/root/testdata/sf0.001/pages.parquet", columns=["html"]).html.dropna() for b, keep in html_main.labelled(page))
+    assert flipped > 0
+
+
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(11)
     for _ in range(60):
