@@ -58,8 +58,8 @@ _BLOCK_SCORE = {"p": 0.7, "h1": 1.5, "h2": 0.8, "h3": 0.6, "h4": 0.4, "blockquot
 _SCALE = 16
 #: What it costs to part a block from the element around it that bears a cue, above any block's own cost, and such elements.
 _HELD, _NESTED = 6 * _SCALE, 8 * _SCALE
-#: What it costs to part blocks that follow each other, at most, and blocks of one parent.
-_NEXT, _SIBLING = 2 * _SCALE, _SCALE
+#: What it costs to part blocks that follow each other, at most, the same across the border of an element with a cue, and blocks of one parent.
+_NEXT, _ACROSS, _SIBLING = 2 * _SCALE, _SCALE // 2, _SCALE
 
 
 @lru_cache(maxsize=65_536)
@@ -333,9 +333,11 @@ def graph_of(read: Reader) -> tuple[list[int], list[tuple[int, int, int]]]:
         if block.around >= 0:
             edges.append((i, n + block.around, _HELD))
         if i:
-            edges.append((i - 1, i, max(1, _NEXT // (1 + block.apart))))
+            crossed = read.blocks[i - 1].around != block.around
+            edges.append((i - 1, i, max(1, (_ACROSS if crossed else _NEXT) // (1 + block.apart))))
         if last.get(block.parent, i) < i - 1:
-            edges.append((last[block.parent], i, _SIBLING))
+            crossed = read.blocks[last[block.parent]].around != block.around
+            edges.append((last[block.parent], i, _ACROSS if crossed else _SIBLING))
         last[block.parent] = i
     costs = [round(_SCALE * classify(b)) for b in read.blocks]
     return costs + [round(_SCALE * told * k) for (told, _), k in zip(read.cues, inside, strict=True)], edges
