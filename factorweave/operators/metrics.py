@@ -80,14 +80,3 @@ def ranking(table: DataFrame) -> DataFrame:
 def with_scores(table: DataFrame, ranks: DataFrame) -> DataFrame:
     """Metrics with the composite score of ranked factors, 0 for the others, in ranking order."""
     return table.join(ranks.select("factor", "composite_score", "rank"), "factor", "left").select("factor", *NAMES, F.coalesce("composite_score", F.lit(0.0)).alias("composite_score"), "rank").orderBy(F.asc_nulls_last("rank"), "factor").drop("rank")
-
-
-def comparison(returns: DataFrame, frequency: str = "M", periods: int | None = None) -> DataFrame:
-    """Metrics of the last so many periods as the dashboard shows them: uncapped, null where a ratio has no base."""
-    p = PERIODS[frequency]
-    own = Window.partitionBy("factor")
-    rows = returns.withColumn("back", F.row_number().over(own.orderBy(F.desc("period_end"))))
-    rows = equity_curve(rows.where(F.col("back") <= periods) if periods else rows)
-    sums = rows.groupBy("factor").agg(F.max_by("equity", "period_end").alias("total"), F.count("*").alias("n"), F.avg("return").alias("mean"), F.stddev_pop("return").alias("spread"), F.least(F.lit(0.0), F.min("drawdown")).alias("max_drawdown"))
-    out = sums.select("factor", "n", (F.col("total") - 1).alias("cumulative"), F.when(F.col("total") > 0, F.pow("total", p / F.col("n")) - 1).alias("cagr"), (F.col("spread") * math.sqrt(p)).alias("volatility"), _over(F.col("mean") * p, F.col("spread") * math.sqrt(p)).alias("sharpe"), "max_drawdown")
-    return out.withColumn("calmar", _over(F.col("cagr"), F.abs("max_drawdown")))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.loaders import last_of
 from . import kernels
 from .scoring import signal_rows
 
@@ -55,7 +56,8 @@ def average_dollar_volume(prices: DataFrame, dates: list, window: int) -> DataFr
 
 def judged(scores: DataFrame, universe: DataFrame, prices: DataFrame, dates: list, rules: Rules) -> DataFrame:
     """``scores`` with ``reject_reason``, '' for candidates: the first test that a row fails."""
-    dim = universe.select("ticker", is_stock().alias("stock"), F.when(~F.isnan("market_cap"), F.col("market_cap")).alias("market_cap")).dropDuplicates(["ticker"])
+    dim = universe.select("*", is_stock().alias("stock")).withColumn("market_cap", F.when(~F.isnan("market_cap"), F.col("market_cap")))
+    dim = last_of(dim, ["ticker"], ["stock", "market_cap"])
     rows = scores.join(dim, "ticker", "left")
     why = F.when(~F.col("eligible"), F.col("skip_reason")).when(~F.coalesce("stock", F.lit(False)), "inactive_or_non_stock")
     if rules.min_market_cap > 0:
@@ -81,7 +83,7 @@ def selected(candidates: DataFrame, rules: Rules) -> DataFrame:
 
 def forward_returns(holdings: DataFrame, periods: DataFrame, prices: DataFrame) -> DataFrame:
     """Holdings with ``period``, their return over it, and why there is none: exact dates only."""
-    at = prices.groupBy("ticker", "date").agg(F.max("adj_close").alias("price"))
+    at = last_of(prices, ["ticker", "date"], ["adj_close"]).withColumnRenamed("adj_close", "price")
     rows = holdings.join(periods, F.col("signal_date") == F.col("period_start"))
     rows = rows.join(at.select("ticker", F.col("date").alias("period_start"), F.col("price").alias("p0")), ["ticker", "period_start"], "left")
     rows = rows.join(at.select("ticker", F.col("date").alias("period_end"), F.col("price").alias("p1")), ["ticker", "period_end"], "left")

@@ -46,12 +46,14 @@ WHOLE = ("rank", "count", "holdings_count")
 SHOWN = ("provider", "fetched_at", "universe_as_of_date", "data_end_date", "tested_factor_count", "effective_factor_count", "factor_preset", "factor_library_size", "selected_factor_count", "source_hash", "price_coverage_ratio", "universe_ticker_count", "rankable_stock_universe_count", "holdout_validation")
 SOURCES = ("csv", "yfinance", "yahoo_chart", "yfinance_yahoo_chart")
 LOW_COVERAGE, LISTED = 0.9, 30
+#: How results are refreshed; a scheduler is the caller's.
+AUTOMATION = {"mode": "on_demand", "entry_point": "python -m factorweave run", "fallback_policy": "a failed gate leaves the published result as it is"}
 
 
 def number(text: object, whole: bool = False) -> int | float | None:
     """A finite number, or None; whole ones lose their fraction."""
     try:
-        value = float(str(text).strip())
+        value = float(str(text).strip() if text is not None else "nan")
     except ValueError:
         return None
     return None if not math.isfinite(value) else int(value) if whole else value
@@ -89,19 +91,18 @@ def _page(title: str, tables: Mapping[str, list[dict]], bars: Mapping[str, str])
     return "\n".join([*out, "</body></html>"]) + "\n"
 
 
-def write_artifacts(tables: Mapping[str, DataFrame], folder: str | Path, metadata: Mapping, config: Mapping, prices: DataFrame | None = None) -> None:
-    """Tables, configuration, metadata and both reports of a run."""
+def write_artifacts(tables: Mapping[str, DataFrame], folder: str | Path, metadata: Mapping, config: Mapping, prices: DataFrame | None = None, scores: bool = True) -> None:
+    """Tables, configuration, metadata and both reports of a run; the scores may be left out."""
     root, tables = Path(folder), with_latest(tables)
     for name, file in FILES.items():
         if name in tables:
             sinks.write_csv(tables[name], root / file)
-    for name, df in (("factor_scores", tables.get("scores")), ("prices_snapshot", prices)):
+    for name, df in (("factor_scores", tables.get("scores") if scores else None), ("prices_snapshot", tables.get("prices") if prices is None else prices), ("universe_snapshot", tables.get("universe"))):
         if df is not None:
-            texts = [c for c, kind in df.dtypes if kind == "string"]
-            df.withColumns({c: sinks.safe_text(c) for c in texts}).write.mode("overwrite").option("header", True).csv(str(root / name))
+            sinks.write_parts(df.drop("line"), str(root / name))
     sinks.write_json(root / "run_config.json", dict(config))
     sinks.write_json(root / "run_metadata.json", dict(metadata))
-    (root / "report.md").write_text(sinks.report(tables["ranking"], tables["latest_holdings"], tables["skipped"]))
+    (root / "report.md").write_text(sinks.report(tables["ranking"], tables["latest_holdings"], tables["skipped"], metadata))
     shown = {s: read_rows(root / FILES[SECTIONS[s]]) for s in ("rankings", "latest_holdings", "skipped_reasons")}
     (root / "report.html").write_text(_page("Factor report", shown, {"rankings": "composite_score", "latest_holdings": "weight"}))
 
@@ -129,12 +130,17 @@ def site_payload(folder: str | Path, scope: str = "csv_run", generated_at: str |
         "best_composite_score": best.get("composite_score"),
         "ranking_count": len(sections["rankings"]),
         "holding_count": len(sections["latest_holdings"]),
-        "data_end_date": public.get("data_end_date"),
+        **{k: number(metadata.get(k), True) for k in ("tested_factor_count", "effective_factor_count", "factor_library_size", "selected_factor_count")},
+        **{k: metadata.get(k) or None for k in ("factor_preset", "fetched_at", "data_end_date", "source_hash", "universe_as_of_date")},
+        "provider": metadata.get("provider") or "unknown",
+        "interpretation_label": "in_sample_exploratory_with_recent_holdout_check",
+        "static_data_warning": "A stored result of one run: it does not refresh by itself.",
         **{f"best_factor_holdout_{k}": late.get(k) for k in ("rank", "cagr", "sharpe")},
     }
     at = generated_at or dt.datetime.now(dt.UTC).isoformat(timespec="seconds")
     lists = {k: metadata[k] if isinstance(metadata.get(k), list) else [] for k in ("factor_catalog", "factor_family_summary", "caveats")}
-    return {"schema_version": 1, "generated_at": at, "data_scope": scope, "summary": summary, **sections, **lists, "metadata": public}
+    lists["caveats"] = [str(c) for c in lists["caveats"] or sinks.CAVEATS]
+    return {"schema_version": 1, "generated_at": at, "data_scope": scope, "summary": summary, **sections, **lists, "metadata": public, "automation": dict(AUTOMATION)}
 
 
 def public_summary(payload: Mapping) -> dict:
@@ -147,8 +153,14 @@ def public_summary(payload: Mapping) -> dict:
         "schemaVersion": 1,
         "generatedAt": payload["generated_at"],
         "dataAsOf": payload["summary"]["data_end_date"],
+        "timezone": "UTC",
         "status": {"state": "degraded" if reasons else "ok", "degradedReasons": reasons},
-        "coverage": {"rankingCount": len(payload["rankings"]), "holdingCount": len(holdings), "priceCoverageRatio": covered},
+        "coverage": {
+            "rankingCount": len(payload["rankings"]), "holdingCount": len(holdings), "priceCoverageRatio": covered, "testedFactorCount": payload["summary"]["tested_factor_count"], "selectedFactorCount": payload["summary"]["selected_factor_count"],
+            "universeTickerCount": payload["metadata"].get("universe_ticker_count"), "rankableStockUniverseCount": payload["metadata"].get("rankable_stock_universe_count"),
+        },
+        "highlights": [{"label": k, "value": payload["summary"][k]} for k in ("best_factor", "best_composite_score", "best_factor_holdout_rank")],
+        "limitations": payload["caveats"][:4],
         "bestFactor": payload["summary"]["best_factor"],
         "primaryEntities": [{"symbol": r["ticker"], "weight": r["weight"], "score": r.get("score"), "rebalanceDate": r.get("rebalance_date")} for r in holdings[:LISTED]],
     }

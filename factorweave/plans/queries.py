@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import registry
 from ..functions.registry import Factor
-from ..operators import calendar, diagnostics, metrics, portfolio, scoring
+from ..operators import calendar, comparison, diagnostics, metrics, portfolio, scoring
 from ..sources import loaders, symbols
-from . import panel
+from . import gates, panel
+from .store import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,11 +149,23 @@ def _periods(spark, sf_dir):
     return calendar.signal_periods(calendar.rebalance_dates(panel.prices(spark, sf_dir))).withColumn("period", F.col("period").cast("int"))
 
 
-@_query("adjust_ohlc", f"""with p as ({panel.PRICES_SQL}), q as (select ticker, date, adj_close / close as k, open, high, low, adj_close from p)
-select ticker, date, open * k as open, greatest(high * k, open * k, adj_close) as high, least(low * k, open * k, adj_close) as low, adj_close as close from q""")
+_HOLES = """select ticker, date, case when day(date) % 5 = 0 then null else open end as open, case when day(date) % 4 = 0 then null else high * 0.97::double end as high, case when day(date) % 6 = 0 then null else low * 1.03::double end as low,
+  case when day(date) % 7 = 0 then 0.0::double when day(date) % 11 = 0 then null else close end as close, case when day(date) % 13 = 0 then null else adj_close end as adj_close from p"""
+
+
+@_query("adjust_ohlc", f"""with p as ({panel.PRICES_SQL}), h as ({_HOLES}),
+q as (select *, case when close > 0 then close else adj_close end as used from h),
+r as (select *, case when used > 0 and adj_close / used > 0 then adj_close / used else 1.0::double end as k, coalesce(open, used) as first from q),
+t as (select *, coalesce(high, case when first > used then first else used end) * k as top, coalesce(low, case when first < used then first else used end) * k as bottom from r)
+select ticker, date, case when adj_close is null then open else first * k end as open, case when adj_close is null then high when top < bottom then bottom else top end as high,
+  case when adj_close is null then low when top < bottom then top else bottom end as low, case when adj_close is null then close else adj_close end as close from t""")
 def _adjust(spark, sf_dir):
-    rows = loaders.adjusted(panel.prices(spark, sf_dir))
-    return rows.select("ticker", "date", "open", "high", "low", "close")
+    """Bars with holes: missing opens, highs, lows and closes, closes of 0, highs below lows, no adjusted close."""
+    hole = lambda n, value: F.when(F.dayofmonth("date") % n != 0, value)
+    bars = panel.prices(spark, sf_dir).withColumns({
+        "open": hole(5, F.col("open")), "high": hole(4, F.col("high") * 0.97), "low": hole(6, F.col("low") * 1.03), "close": F.when(F.dayofmonth("date") % 7 == 0, 0.0).otherwise(hole(11, F.col("close"))), "adj_close": hole(13, F.col("adj_close")),
+    })
+    return loaders.adjusted(bars).select("ticker", "date", "open", "high", "low", "close")
 
 
 # --- scores
@@ -166,10 +179,12 @@ _BLEND = Factor("f_blend", "composite", "composite", parts=("f_mom", "f_vol", "f
 
 
 def _inputs(spark, sf_dir):
-    prices = panel.prices(spark, sf_dir)
-    schedule = calendar.rebalance_dates(prices)
-    dates = _dates(schedule)
+    """The panel and its scores, each computed once: later steps read them often."""
+    prices = kept(panel.prices(spark, sf_dir), "panel")
+    dates = _dates(calendar.rebalance_dates(prices))
+    schedule = spark.createDataFrame([(d,) for d in dates], "date date")
     base = scoring.base_scores(prices, dates[:-1], _FACTORS)
+    base = kept(base, "base")
     return prices, schedule, dates, scoring.ranked(base.unionByName(scoring.blended(base, [_BLEND])))
 
 
@@ -269,6 +284,72 @@ def _zoo(spark, sf_dir):
     return rows.groupBy("factor", "skip_reason").agg(F.count("*").alias("n"))
 
 
+def _score_sql(f: Factor) -> str:
+    """SQL for a factor's score in a row of ``y``; fundamentals and blends are worked out apart."""
+    p = f.params
+    w, short, long, skip = p.get("window", 0), p.get("short", 0), p.get("long", 0), p.get("skip", 0)
+    sd, start = f"stddev_pop(r) {_o(w or p.get('vol_window', 1))}", lambda n, k=0: f"({_mom(n, k)[0]})"
+    before = _W.format(max(long, 1) - 1, f"{short} preceding")
+    worst = max(1, -(-w // 10))
+    cube = f"(avg(r*r*r) {_o(w)} - 3 * avg(r) {_o(w)} * avg(r*r) {_o(w)} + 2 * pow(avg(r) {_o(w)}, 3))" if w else ""
+    return {
+        "momentum": lambda: start(p["lookback"], skip),
+        "reversal": lambda: f"-{start(p['lookback'])}",
+        "volatility": lambda: {
+            "total": f"-{sd}", "downside": f"-stddev_pop(case when r < 0 then r when r >= 0 then 0 end) {_o(w)}", "upside": f"-stddev_pop(case when r > 0 then r when r <= 0 then 0 end) {_o(w)}", "range": f"-avg(rng) {_o(w)}",
+        }[p["measure"]],
+        "return_skew": lambda: f"{cube} / pow({sd}, 3)",
+        "return_kurtosis": lambda: f"-kurtosis_pop(r) {_o(w)}",
+        "tail_loss": lambda: f"list_sum(list_sort(list(r) {_o(w)})[1:{worst}]) / {worst}",
+        "trend_efficiency": lambda: f"{start(w)} / (sum(abs(r)) {_o(w)})",
+        "return_consistency": lambda: f"avg(case when r > 0 then 1.0::double when r <= 0 then 0.0::double end) {_o(w)}",
+        "risk_adjusted_momentum": lambda: f"{start(p['lookback'], skip)} / {sd}",
+        "liquidity": lambda: f"avg(dv) {_o(w)}",
+        "illiquidity": lambda: f"-(avg(abs(r) / dv) {_o(w)}) * 1e6",
+        "volume_trend": lambda: f"(avg(dv) {_o(short)}) / (avg(dv) {_o(long)}) - 1",
+        "volume_shock": lambda: f"case when (stddev_pop(dv) {before}) > 0 then ((avg(dv) {_o(short)}) - (avg(dv) {before})) / (stddev_pop(dv) {before}) else (avg(dv) {_o(short)}) / (avg(dv) {before}) - 1 end",
+        "price_volume_corr": lambda: f"(covar_pop(r, dvc) {_o(w)}) / ({sd} * stddev_pop(dvc) {_o(w)})",
+        "moving_average_gap": lambda: f"c / (avg(c) {_o(w)}) - 1",
+        "moving_average_cross": lambda: f"(avg(c) {_o(short)}) / (avg(c) {_o(long)}) - 1",
+        "range_position": lambda: f"(c - min(low) {_o(w)}) / (max(high) {_o(w)} - min(low) {_o(w)})",
+        "drawdown_high": lambda: f"c / (max(c) {_o(w)}) - 1",
+        "breakout_strength": lambda: f"c / (max(high) {_W.format(w, '1 preceding')}) - 1",
+        "range_contraction": lambda: f"-((avg(rng) {_o(short)}) / (avg(rng) {_o(long)}) - 1)",
+        "overnight_return": lambda: f"avg(gap) {_o(w)}",
+        "intraday_return": lambda: f"avg(day) {_o(w)}",
+        "acceleration": lambda: f"{start(short, skip)} - {start(long, skip)}",
+    }[f.kind]()
+
+
+def _zoo_values_sql() -> str:
+    every = registry.REGISTRY.values()
+    wide = ", ".join(f"""case when ({_reason_sql(f)}) = '' then cast({_score_sql(f)} as double) end as "{f.name}\"""" for f in every if f.kind not in ("fundamental", "composite"))
+    parts = ", ".join(f"('{f.name}', '{part}', {len(f.parts)})" for f in every for part in f.parts)
+    return f"""{_BASE}, wide as (select ticker, date, nd, {wide} from y),
+seen as (select d as signal_date, wide.* exclude (date, nd) from wide join sig on d >= date and (nd is null or d < nd)),
+base as (unpivot seen on columns(* exclude (ticker, signal_date)) into name factor value score),
+f as ({panel.FUNDAMENTALS_SQL}), known as (select s.ticker, s.signal_date, arg_max(pe_ratio, available_at) as pe, arg_max(return_on_equity, available_at) as roe from seen s join f on f.ticker = s.ticker and f.available_at <= s.signal_date group by 1, 2),
+scaled as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0.5::double end as scaled from base window w as (partition by factor, signal_date)),
+blends as (select b.blend as factor, s.ticker, s.signal_date, avg(scaled) as score from scaled s join (values {parts}) b(blend, part, parts) on s.factor = b.part group by b.blend, s.ticker, s.signal_date, b.parts having count(*) = b.parts),
+rows as (select factor, ticker, signal_date, score from base union all select factor, ticker, signal_date, score from blends
+  union all select 'value_pe', ticker, signal_date, -pe from known where pe > 0 union all select 'quality_roe', ticker, signal_date, cast(roe as double) from known where roe is not null)
+select factor, count(*) as n, round(ln(max(abs(score)) + 1e-12::double), 4) as log_top, round(avg(score) / (max(abs(score)) + 1e-12::double), 4) as mean_share,
+  round(sum(score * (1 + (day(signal_date) + ascii(right(ticker, 1))) % 7)) / (sum(abs(score)) + 1e-12::double), 4) as mix_share from rows group by 1"""
+
+
+@_query("zoo_values", _zoo_values_sql())
+def _zoo_values(spark, sf_dir):
+    """The scores of all registered factors, by factor: how many, how large, and two sums that tell rows apart."""
+    prices = kept(panel.prices(spark, sf_dir), "panel")
+    dates = _dates(calendar.rebalance_dates(prices))[:-1]
+    rows = scoring.factor_scores(prices, dates, registry.preset("zoo"), panel.fundamentals(spark, sf_dir)).where("eligible")
+    top, tiny = F.max(F.abs("score")), F.lit(1e-12)
+    place = 1 + (F.dayofmonth("signal_date") + F.ascii(F.right("ticker", F.lit(1)))) % 7
+    return rows.groupBy("factor").agg(
+        F.count("*").alias("n"), F.round(F.ln(top + tiny), 4).alias("log_top"), (F.round(F.avg("score") / (top + tiny), 4) + F.lit(0.0)).alias("mean_share"), (F.round(F.sum(F.col("score") * place) / (F.sum(F.abs("score")) + tiny), 4) + F.lit(0.0)).alias("mix_share")
+    )
+
+
 @_query("family_summary", None)
 def _families(spark, sf_dir):
     return registry.family_summary(registry.catalog(spark))
@@ -281,6 +362,7 @@ _RULES = portfolio.Rules(top_n=5, weighting="score", min_market_cap=1000.0, min_
 
 def _tested(spark, sf_dir, rules=_RULES):
     prices, schedule, dates, scores = _inputs(spark, sf_dir)
+    scores = kept(scores, "scores")
     return portfolio.backtest(scores, panel.universe(spark, sf_dir), prices, calendar.signal_periods(schedule), dates, rules), prices, dates
 
 
@@ -356,7 +438,7 @@ def _ranks(df):
 
 
 def _returns(spark, sf_dir):
-    return _tested(spark, sf_dir)[0]["returns"]
+    return kept(_tested(spark, sf_dir)[0]["returns"], "returns")
 
 
 _query("metrics", _SCORED + _METRICS.format(rows="returns") + _SHOWN)(lambda s, d: _shown(metrics.metrics(_returns(s, d))))
@@ -366,15 +448,67 @@ _query("holdout_ranking", _SCORED + _HOLD + _METRICS.format(rows="tail") + _RNK)
 _query("equity_drawdown", _SCORED + _METRICS.format(rows="returns") + "select factor, period_end, round(ln(equity), 5) as log_equity, round(drawdown, 5) as drawdown from dd")(
     lambda s, d: metrics.equity_curve(_returns(s, d)).select("factor", "period_end", F.round(F.ln("equity"), 5).alias("log_equity"), F.round("drawdown", 5).alias("drawdown"))
 )
-_query("compare_slices", _SCORED + ", tail as (select * from (select *, row_number() over (partition by factor order by period_end desc) as back from returns) where back <= 12)" + _METRICS.format(rows="tail") + "select factor, n, round(total - 1, 4) as cumulative, round(sd * sqrt(12), 4) as volatility, round(mdd, 4) as max_drawdown from agg")(
-    lambda s, d: metrics.comparison(_returns(s, d), periods=12).select("factor", "n", F.round("cumulative", 4).alias("cumulative"), F.round("volatility", 4).alias("volatility"), F.round("max_drawdown", 4).alias("max_drawdown"))
+_POINTS = """, curve as (select factor, period_end as date, exp(sum(ln(1 + ret)) over (partition by factor order by period_end)) as equity from returns
+  union all select factor, min(period_start), 1.0::double from returns group by 1)"""
+_SLICED = """, backs as (select *, row_number() over (partition by factor order by date desc) as back, year(date) = year(max(date) over (partition by factor)) as here from curve),
+sl as (select b.*, s.slice from (select *, count(*) filter (where here) over (partition by factor) + 1 as ytd from backs) b, (values ('all'), ('1y'), ('3y'), ('ytd')) s(slice)
+  where s.slice = 'all' or (s.slice = '1y' and back <= 13) or (s.slice = '3y' and back <= 37) or (s.slice = 'ytd' and back <= greatest(2, ytd))),
+st as (select *, equity / lag(equity) over w - 1 as step, equity / max(equity) over (partition by factor, slice order by date rows unbounded preceding) - 1 as down from sl window w as (partition by factor, slice order by date)),
+ag as (select factor, slice, count(step) as n, arg_max(equity, date) / arg_min(equity, date) - 1 as cumulative, avg(step) as mean, stddev_pop(step) as sd, sqrt(avg(pow(least(step, 0), 2)) filter (where step is not null)) as below, least(0, min(down)) as mdd from st group by 1, 2),
+cm as (select *, pow(1 + cumulative, 12.0 / n) - 1 as cagr from ag)
+select factor, slice, n, round(cumulative, 4) as cumulative, round(cagr, 4) as cagr, round(sd * sqrt(12), 4) as volatility, round(case when sd > 0 then mean * 12 / (sd * sqrt(12)) end, 4) as sharpe,
+  round(case when below > 0 then mean * 12 / (below * sqrt(12)) when mean > 0 then 999 end, 4) as sortino, round(case when mdd < 0 then cagr / abs(mdd) when cagr > 0 then 999 end, 4) as calmar, round(mdd, 4) as max_drawdown from cm"""
+
+
+def _rounded(df, *names):
+    return df.withColumns({n: F.round(n, 4) + F.lit(0.0) for n in names})
+
+
+_query("compare_slices", _SCORED + _POINTS + _SLICED)(lambda s, d: _rounded(comparison.comparison(_returns(s, d)), "cumulative", "cagr", "volatility", "sharpe", "sortino", "calmar", "max_drawdown"))
+_query("compare_points", _SCORED + _POINTS + " select factor, date, round(ln(equity), 5) as log_equity, round(equity / greatest(1.0::double, max(equity) over (partition by factor order by date)) - 1, 5) as drawdown from curve")(
+    lambda s, d: comparison.points(_returns(s, d)).select("factor", "date", (F.round(F.ln("equity"), 5) + F.lit(0.0)).alias("log_equity"), (F.round("drawdown", 5) + F.lit(0.0)).alias("drawdown"))
 )
+
+
+@_query("ranking_view", _SCORED + _METRICS.format(rows="returns") + ", v as (select factor, sharpe, row_number() over (order by sharpe desc, factor) as place from met) select cast(place as integer) as place, factor, round(sharpe, 4) as sharpe from (select *, count(*) filter (where factor like '%f_l%' or factor like '%f_m%') over (order by place) as k from v) where (k <= 1 and (factor like '%f_l%' or factor like '%f_m%')) or factor = 'f_vol'")
+def _view(spark, sf_dir):
+    """The best factor by Sharpe ratio among two families, and one that was selected."""
+    ranks = metrics.ranking(metrics.metrics(_returns(spark, sf_dir)))
+    among = comparison.sorted_by(ranks.withColumn("factor", F.when(F.col("factor").rlike("f_[lm]"), F.concat(F.col("factor"), F.lit("|listed"))).otherwise(F.col("factor"))), "sharpe", "|LISTED", ("f_vol",), 1)
+    return among.select(F.col("place").cast("int").alias("place"), F.regexp_replace("factor", r"\|listed", "").alias("factor"), F.round("sharpe", 4).alias("sharpe"))
+
+
+@_query("compare_default", _SCORED + _METRICS.format(rows="returns") + _RNK.replace("select cast(row_number()", ", shown as (select cast(row_number()") + ") select factor from shown where rank = 2")
+def _default(spark, sf_dir):
+    """The factor that a comparison begins with: the next ranked one, as none is selected."""
+    returns = _returns(spark, sf_dir)
+    name = comparison.default_factor((), metrics.ranking(metrics.metrics(returns)), returns)
+    return spark.createDataFrame([(name,)], "factor string")
+
+
+@_query("compare_nearest", _SCORED + _POINTS + """, asked(day) as (values (date '1992-01-01'), (date '1995-03-20'), (date '1996-11-05'), (date '2030-01-01')), dates as (select distinct date from curve)
+select day, arg_min(date, abs(date_diff('day', date, day)) * 100000 + date_diff('day', date '1970-01-01', date)) as nearest, max(case when date = day then 1 else 0 end) = 1 as exact from asked, dates group by 1""")
+def _nearest(spark, sf_dir):
+    """For some days the observed date that is nearest, and whether it is that day."""
+    import datetime as dt
+
+    series = kept(comparison.points(_returns(spark, sf_dir)), "points")
+    out = None
+    for day in (dt.date(1992, 1, 1), dt.date(1995, 3, 20), dt.date(1996, 11, 5), dt.date(2030, 1, 1)):
+        row = comparison.nearest_date(series, day).select(F.lit(day).alias("day"), F.col("date").alias("nearest")).withColumn("exact", F.lit(not comparison.at_date(series, day).isEmpty()))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _query("turnover_stats", _SCORED + " select factor, count(*) as periods, count(*) filter (where holdings_count > 0) as invested, round(avg(turnover), 6) as mean_turnover, round(max_by(turnover, period_end), 6) as latest_turnover from returns group by 1")(
     lambda s, d: diagnostics.turnover_stats(_returns(s, d)).withColumns({c: F.round(c, 6) for c in ("mean_turnover", "latest_turnover")})
 )
-_query("latest_holdings", _SCORED + " select ticker, round(weight, 6) as weight from held where factor = 'f_mom' and signal_date = (select max(signal_date) from held where factor = 'f_mom')")(
-    lambda s, d: portfolio.latest_holdings(_tested(s, d)[0]["holdings"], "f_mom").select("ticker", F.round("weight", 6).alias("weight"))
-)
+@_query("latest_holdings", _SCORED + _METRICS.format(rows="returns") + _RNK.replace("select cast(row_number()", ", shown as (select cast(row_number()") + "), first as (select factor from shown where rank = 1) select ticker, round(weight, 6) as weight from held where factor = (select factor from first) and signal_date = (select max(signal_date) from held where factor = (select factor from first))")
+def _latest(spark, sf_dir):
+    """The newest holdings of the factor that ranks first."""
+    found = _tested(spark, sf_dir)[0]
+    best = metrics.ranking(metrics.metrics(found["returns"])).where("rank = 1").first().factor
+    return portfolio.latest_holdings(found["holdings"], best).select("ticker", F.round("weight", 6).alias("weight"))
 
 
 @_query("portfolio_concentration", _SCORED + """ select h.factor, h.signal_date as rebalance_date, round(sum(weight), 6) as weight_sum, round(1 / sum(weight * weight), 5) as effective_names, round(min(0.1 * adv / weight), 2) as capacity
@@ -385,6 +519,37 @@ def _concentration(spark, sf_dir):
     return out.select("factor", "rebalance_date", F.round("weight_sum", 6).alias("weight_sum"), F.round("effective_names", 5).alias("effective_names"), F.round("capacity", 2).alias("capacity"))
 
 
+@_query("portfolio_diagnostics", _SCORED + """, h as (select h.factor, h.signal_date as rebalance_date, h.ticker, h.weight, a.adv, row_number() over (partition by h.factor, h.signal_date order by h.weight desc, h.ticker) as k from held h join adv a on a.ticker = h.ticker and a.d = h.signal_date)
+select factor, rebalance_date, count(*) as names, round(min(weight), 6) as weight_min, round(max(weight), 6) as weight_max, round(sum(weight) filter (where k <= 5), 6) as weight_top5, round(ln(min(adv)), 6) as adv_min, arg_min(ticker, adv) as adv_min_ticker,
+  round(ln(median(adv)), 6) as adv_median, round(ln(sum(weight * adv)), 6) as adv_weighted, round(ln(min(0.05 * adv / weight)), 6) as capacity_low, arg_min(ticker, adv / weight) as tightest from h group by 1, 2""")
+def _portfolio_diagnostics(spark, sf_dir):
+    found, prices, dates = _tested(spark, sf_dir)
+    out = diagnostics.concentration(found["holdings"], portfolio.average_dollar_volume(prices, dates, 13))
+    logs = [F.round(F.ln(c), 6).alias(c) for c in ("adv_min", "adv_median", "adv_weighted", "capacity_low")]
+    return out.select("factor", "rebalance_date", "names", *(F.round(c, 6).alias(c) for c in ("weight_min", "weight_max", "weight_top5")), *logs, "adv_min_ticker", "tightest")
+
+
+_query("factor_counts", _SCORED + " select count(distinct factor) as tested, count(distinct factor) filter (where holdings_count > 0) as effective from returns")(lambda s, d: diagnostics.factor_counts(_returns(s, d)))
+
+
+@_query("zero_coverage_counts", _SCORED + """, strict as (select factor, period_start, case when month(period_start) = 13 then holdings_count else 0 end as held from returns where factor <> 'f_mom' union all select factor, period_start, holdings_count from returns where factor = 'f_mom')
+select 'zero_coverage:' || factor as skip_reason, count(distinct factor) as count from strict group by factor having max(held) = 0""")
+def _zero(spark, sf_dir):
+    """Reasons of factors without holdings, with all of them but one emptied."""
+    returns = _returns(spark, sf_dir).withColumn("holdings_count", F.when(F.col("factor") == "f_mom", F.col("holdings_count")).otherwise(F.lit(0)))
+    return diagnostics.zero_coverage(metrics.metrics(returns))
+
+
+@_query("universe_facts", f"""with uni as ({panel.UNIVERSE_SQL}), p as (select distinct ticker from ({panel.PRICES_SQL}) where ticker < 'Brand#4'),
+u as (select *, case when ticker like '%1' then 'b list' when ticker like '%2' then 'a list' when ticker like '%3' then 'd list' else 'c list' end as source, cast(date '2024-01-01' + cast(ascii(right(ticker, 1)) as integer) as varchar) as as_of_date from uni)
+select count(*) as tickers, count(*) filter (where stock and ticker in (select ticker from p)) as rankable, max(as_of_date) as as_of, 'a list,b list,c list' as name from u""")
+def _universe_facts(spark, sf_dir):
+    last = F.right("ticker", F.lit(1))
+    listed = panel.universe(spark, sf_dir).withColumn("source", F.when(last == "1", "b list").when(last == "2", "a list").when(last == "3", "d list").otherwise("c list"))
+    listed = listed.withColumn("as_of_date", F.date_add(F.lit("2024-01-01").cast("date"), F.ascii(last)).cast("string"))
+    return diagnostics.universe_facts(listed, panel.prices(spark, sf_dir).where("ticker < 'Brand#4'"))
+
+
 @_query("eligibility_by_date", f"""{_BASE}, uni as ({panel.UNIVERSE_SQL}), a as (select ticker, date, nd, n, case when n >= 13 then avg(dv) {_o(13)} else 0 end as adv from y)
 select d as signal_date, count(*) filter (where n >= 26) as history, count(*) filter (where adv >= 1) as liquid, count(*) filter (where n >= 26 and adv >= 1) as eligible
 from a join sig on d >= date and (nd is null or d < nd) where ticker in (select ticker from uni where stock) group by 1""")
@@ -393,6 +558,40 @@ def _eligibility(spark, sf_dir):
     return diagnostics.eligibility(prices, panel.universe(spark, sf_dir), _dates(calendar.rebalance_dates(prices))[:-1], 26, 1.0, 13)
 
 
+@_query("eligibility_summary", f"""{_BASE}, uni as ({panel.UNIVERSE_SQL}), a as (select ticker, date, nd, n, case when n >= 13 then avg(dv) {_o(13)} else 0 end as adv from y),
+e as (select d as signal_date, count(*) filter (where n >= 26) as history, count(*) filter (where adv >= 1) as liquid, count(*) filter (where n >= 26 and adv >= 1) as eligible
+from a join sig on d >= date and (nd is null or d < nd) where ticker in (select ticker from uni where stock) group by 1)
+select min(eligible) as min_eligible, median(eligible) as median_eligible, arg_max(history, signal_date) as latest_history, arg_max(liquid, signal_date) as latest_liquid, arg_max(eligible, signal_date) as latest_eligible, max(signal_date) as signal_date from e""")
+def _eligibility_summary(spark, sf_dir):
+    return diagnostics.eligibility_summary(_eligibility(spark, sf_dir))
+
+
+@_query("benchmark_gates", f"""with p as ({panel.BARS_SQL.format(ticker="p_brand", unit="week")}), last as (select max(date) as d from p where ticker = 'Brand#11')
+select ticker, count(*) as n, max(date) as last, ticker in ('Brand#11', 'Brand#12', 'Brand#13') as benchmark from p, last where date <= d and (ticker not in ('Brand#11', 'Brand#12', 'Brand#13') or ticker in (select ticker from p, last where date = d)) group by 1""")
+def _benchmark_gates(spark, sf_dir):
+    """Stocks and benchmarks set apart, cut at the session that the first benchmark reaches; benchmarks that don't reach it go."""
+    names = ["Brand#11", "Brand#12", "Brand#13"]
+    rows = kept(panel.prices(spark, sf_dir), "panel")
+    end = rows.where("ticker = 'Brand#11'").agg(F.max("date")).first()[0]
+    stocks, bench = gates.parted(rows.where(F.col("date") <= F.lit(end)), names)
+    bench, _ = gates.current_benchmarks(bench, names, end)
+    both = stocks.withColumn("benchmark", F.lit(False)).unionByName(bench.withColumn("benchmark", F.lit(True)))
+    return both.groupBy("ticker", "benchmark").agg(F.count("*").alias("n"), F.max("date").alias("last"))
+
+
+@_query("benchmark_first", f"""{_BASE}, {_PERIODS}, bench as ({panel.BENCHMARK_SQL}), s as (select date, adj_close, lead(date) over (order by date) as nx from bench)
+select 'ALL' as ticker, p.period_start, p.period_end, round(b.adj_close / a.adj_close - 1, 6) as ret from periods p
+join s a on a.date <= p.period_start and (a.nx is null or p.period_start < a.nx) join s b on b.date <= p.period_end and (b.nx is null or p.period_end < b.nx) where b.date > a.date""")
+def _benchmark_first(spark, sf_dir):
+    """Of two benchmarks the one that a comparison shows."""
+    prices = kept(panel.prices(spark, sf_dir), "panel")
+    dates = _dates(calendar.rebalance_dates(prices))
+    periods = calendar.signal_periods(spark.createDataFrame([(d,) for d in dates], "date date"))
+    one = portfolio.benchmark_returns(panel.benchmark(spark, sf_dir), "ALL", "All brands", periods, dates)
+    late = portfolio.benchmark_returns(prices, "Brand#11", "One brand", periods.where("period >= 3"), dates)
+    return comparison.benchmark_series(one.unionByName(late)).select("ticker", "period_start", "period_end", F.round("return", 6).alias("ret"))
+
+
 @_query("benchmark_asof", f"""{_BASE}, {_PERIODS}, bench as ({panel.BENCHMARK_SQL}), s as (select date, adj_close, lead(date) over (order by date) as nx from bench)
 select p.period_start, p.period_end, round(b.adj_close / a.adj_close - 1, 6) as ret, a.date as price_date_start, b.date as price_date_end from periods p
 join s a on a.date <= p.period_start and (a.nx is null or p.period_start < a.nx) join s b on b.date <= p.period_end and (b.nx is null or p.period_end < b.nx) where b.date > a.date""")
@@ -420,10 +619,10 @@ def _merge(spark, sf_dir):
     return merged.select("ticker", "date", "adj_close", "src")
 
 
-@_query("failed_tickers_anti", "select distinct p_brand as ticker from part where p_brand not in (select p_brand from lineitem join part on l_partkey = p_partkey where l_quantity >= 50)")
+@_query("failed_tickers_anti", "select distinct p_brand as ticker from part where p_brand not in (select p_brand from lineitem join part on l_partkey = p_partkey where l_quantity >= 50 and p_size % 7 = 0 and p_brand like '%2')")
 def _failed(spark, sf_dir):
     asked = panel.universe(spark, sf_dir).select("ticker")
-    got = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 50").join(spark.read.parquet(f"{sf_dir}/part.parquet"), F.expr("l_partkey = p_partkey")).select(F.col("p_brand").alias("ticker"))
+    got = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 50").join(spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size % 7 = 0 and p_brand like '%2'"), F.expr("l_partkey = p_partkey")).select(F.col("p_brand").alias("ticker"))
     return loaders.failed(asked, got)
 
 
@@ -432,8 +631,38 @@ def _active(spark, sf_dir):
     return panel.universe(spark, sf_dir).where(portfolio.is_stock()).select("ticker", "market_cap")
 
 
-@_query("symbol_screen", "select * from (values ('AAPL', ''), ('QQQ', 'etf'), ('ZZZW', 'warrant'), ('ABCDEF', 'unsupported_symbol_format')) t(ticker, reason)")
+# a directory of symbols made of parts: their numbers give every kind of row that the screen tells apart
+_KINDS = ("Common Stock", "Warrant", "ETF Trust", "Growth Fund", "Notes due", "Preferred A", "Units", "Rights", "American Depositary", "Ordinary Shares", "Acquisition Corp", "Convertible", "Common Stock", "Class A", "Common Stock")
+_DIRECTORY_SQL = f"""select *, case p_partkey % {len(_KINDS)} {' '.join(f"when {i} then p_name || ' {k}'" for i, k in enumerate(_KINDS))} end as name,
+  case when p_partkey % 31 = 0 then 'ABCDEF' when p_partkey % 37 = 0 then ' ' else chr(cast(65 + p_partkey % 26 as integer)) || chr(cast(65 + (p_partkey // 26) % 26 as integer)) || 'x' end as symbol,
+  case when p_partkey % 19 = 0 then 'y' else 'N' end as etf, case when p_partkey % 23 = 0 then 'Y' end as test_issue, case when p_partkey % 29 = 0 then 'D' when p_partkey % 2 = 0 then 'N' end as financial_status, case when p_partkey % 41 = 0 then 'Y' else 'N' end as nextshares from part"""
+_SCREEN_SQL = f"""with d as ({_DIRECTORY_SQL}), u as (select *, upper(trim(symbol)) as s, ' ' || upper(name) || ' ' as n from d),
+w as (select *, case when s = '' or s in ('SPY') then 'benchmark_or_blank' when not regexp_matches(s, '^[A-Z]{{1,5}}$') then 'unsupported_symbol_format' when upper(etf) = 'Y' then 'etf' when test_issue = 'Y' then 'test_issue'
+  when coalesce(financial_status, '') not in ('', 'N') then 'non_normal_financial_status' when nextshares = 'Y' then 'nextshares'
+  {' '.join(f"when {' or '.join(f"contains(n, '{x}')" for x in parts)} then '{reason}'" for reason, parts in symbols.NAME_PARTS.items())}
+  when not contains(n, 'COMMON STOCK') then 'not_common_stock_name' else '' end as reason from u)"""
+
+
+def _directory(spark, sf_dir):
+    key = F.col("p_partkey")
+    letter = lambda n: F.char((65 + n % 26).cast("int"))
+    name = F.concat("p_name", F.lit(" "), F.element_at(F.array(*map(F.lit, _KINDS)), (key % len(_KINDS) + 1).cast("int")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        name.alias("name"), F.when(key % 31 == 0, "ABCDEF").when(key % 37 == 0, " ").otherwise(F.concat(letter(key), letter(F.floor(key / 26)), F.lit("x"))).alias("symbol"), F.when(key % 19 == 0, "y").otherwise("N").alias("etf"),
+        F.when(key % 23 == 0, "Y").alias("test_issue"), F.when(key % 29 == 0, "D").when(key % 2 == 0, "N").alias("financial_status"), F.when(key % 41 == 0, "Y").otherwise("N").alias("nextshares"), F.lit(None).cast("string").alias("exchange"), F.lit("Q ").alias("category"),
+    )
+
+
+@_query("symbol_screen", f"{_SCREEN_SQL} select s as ticker, name, reason from w")
 def _screen(spark, sf_dir):
-    rows = [("AAPL", "Apple Inc. - Common Stock", "N", "N", "N", "N"), ("QQQ", "Trust Common Stock", "N", "N", "Y", "N"), ("ZZZW", "Zed Corp Warrant", "N", "N", "N", "N"), ("ABCDEF", "Long Common Stock", "N", "N", "N", "N")]
-    table = spark.createDataFrame(rows, "symbol string, name string, test_issue string, financial_status string, etf string, nextshares string")
-    return table.select(F.col("symbol").alias("ticker"), symbols.exclusion_reason().alias("reason"))
+    return _directory(spark, sf_dir).select(F.upper(F.trim("symbol")).alias("ticker"), "name", symbols.exclusion_reason(("SPY",)).alias("reason"))
+
+
+@_query("symbol_exclusions", f"{_SCREEN_SQL} select reason, count(*) as n from w where reason <> '' group by 1")
+def _exclusions(spark, sf_dir):
+    return symbols.exclusion_counts(_directory(spark, sf_dir), ("SPY",))
+
+
+@_query("symbol_universe", f"{_SCREEN_SQL} select s as ticker, trim(name) as name, 'Q' as exchange, 'stock' as asset_type, true as active, '2024-05-01' as as_of_date from w where reason = ''")
+def _symbol_universe(spark, sf_dir):
+    return symbols.accepted(_directory(spark, sf_dir), ("SPY",), "2024-05-01").select("ticker", "name", "exchange", "asset_type", "active", "as_of_date")

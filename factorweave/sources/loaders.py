@@ -25,13 +25,21 @@ def _csv(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
     return raw.withColumns({n: F.lit(None).cast("string") for n in names if n not in raw.columns})
 
 
+def last_of(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each key: the last by ``line``, a row's place in its file, and without such a column the greatest."""
+    value = F.struct(*columns)
+    best = F.max_by(value, F.struct("line", value)) if "line" in df.columns else F.max(value)
+    return df.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
+
+
 def prices_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Typed prices: rows without a ticker, a date or an adjusted close are dropped."""
+    """Typed prices: rows without a ticker, a date or an adjusted close are dropped; ``line`` is a row's place in the file."""
     raw = _csv(spark, path, ("ticker", "date", "open", "high", "low", "close", "adj_close", "volume", "source", "fetched_at"))
     close = number("close")
     rows = raw.select(
         ticker().alias("ticker"), day("date").alias("date"), *(F.coalesce(number(c), close).alias(c) for c in ("open", "high", "low")), close.alias("close"), F.coalesce(number("adj_close"), close).alias("adj_close"),
         F.coalesce(number("volume"), F.lit(0.0)).cast("bigint").alias("volume"), F.coalesce("source", F.lit(f"csv:{path.rstrip('/').rpartition('/')[2]}")).alias("source"), F.coalesce("fetched_at", F.lit("fixture")).alias("fetched_at"),
+        F.monotonically_increasing_id().alias("line"),
     )
     return rows.where("ticker <> '' and date is not null and adj_close is not null")
 
@@ -41,7 +49,7 @@ def universe_csv(spark: SparkSession, path: str) -> DataFrame:
     text = lambda c, d: F.coalesce(F.nullif(F.trim(c), F.lit("")), d if isinstance(d, Column) else F.lit(d)).alias(c)
     said = F.lower(F.trim("active"))
     active = F.when(said.isNull() | (said == ""), True).otherwise(said.isin("1", "true", "yes", "y", "active"))
-    return raw.select(ticker().alias("ticker"), text("name", ticker()), text("exchange", "UNKNOWN"), text("asset_type", "stock"), active.alias("active"), number("market_cap").alias("market_cap"), text("sector", "UNKNOWN"), "source", "as_of_date").where("ticker <> ''")
+    return raw.select(ticker().alias("ticker"), text("name", ticker()), text("exchange", "UNKNOWN"), text("asset_type", "stock"), active.alias("active"), number("market_cap").alias("market_cap"), text("sector", "UNKNOWN"), "source", "as_of_date", F.monotonically_increasing_id().alias("line")).where("ticker <> ''")
 
 
 def inferred_universe(prices: DataFrame) -> DataFrame:
@@ -57,13 +65,20 @@ def fundamentals_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def adjusted(prices: DataFrame) -> DataFrame:
-    """Open, high, low and close scaled to the adjusted close; rows without one stay as they are."""
+    """Open, high, low and close on the scale of the adjusted close; rows without one stay as they are.
+
+    A close that is not a positive number counts as the adjusted one; where the ratio of both is none, it is 1.
+    Missing opens are closes, missing highs and lows the higher and the lower of open and close; a high below
+    its low changes places with it. Nothing else moves a bar: high and low need not span open and close.
+    """
     adj = number("adj_close")
     close = F.when(number("close") > 0, number("close")).otherwise(adj)
-    ratio = F.when(adj / F.nullif(close, F.lit(0.0)) > 0, adj / F.nullif(close, F.lit(0.0))).otherwise(1.0)
-    o = F.coalesce(number("open"), close) * ratio
-    high, low = F.coalesce(number("high") * ratio, F.greatest(o, adj)), F.coalesce(number("low") * ratio, F.least(o, adj))
-    new = {"open": o, "high": F.greatest(high, low, o, adj), "low": F.least(high, low, o, adj), "close": adj}
+    ratio = F.when(close > 0, adj / F.nullif(close, F.lit(0.0)))
+    ratio = F.when(ratio > 0, ratio).otherwise(1.0)
+    first = number("open")
+    high = F.coalesce(number("high"), F.when(first.isNull(), close).otherwise(F.greatest(first, close))) * ratio
+    low = F.coalesce(number("low"), F.when(first.isNull(), close).otherwise(F.least(first, close))) * ratio
+    new = {"open": F.coalesce(first, close) * ratio, "high": F.greatest(high, low), "low": F.least(high, low), "close": adj}
     return prices.withColumns({c: F.when(adj.isNull(), F.col(c)).otherwise(v) for c, v in new.items()})
 
 
@@ -73,7 +88,7 @@ def chart_json(rows: DataFrame, column: str = "payload") -> DataFrame:
     result = rows.select("ticker", F.get(F.from_json(column, kind)["chart"]["result"], F.lit(0)).alias("r")).where("r is not null")
     quote, adj = F.get(F.col("r.indicators.quote"), F.lit(0)), F.get(F.col("r.indicators.adjclose"), F.lit(0))
     parts = result.select("ticker", F.col("r.timestamp").alias("at"), *(quote[c].alias(c) for c in ("open", "high", "low", "close", "volume")), adj["adjclose"].alias("adj_close"))
-    zipped = parts.select("ticker", F.explode(F.arrays_zip("at", "open", "high", "low", "close", "volume", "adj_close")).alias("x")).select("ticker", "x.*").where("at is not null and close is not null")
+    zipped = parts.select("ticker", F.explode(F.arrays_zip("at", "open", "high", "low", "close", "volume", "adj_close")).alias("x")).select("ticker", "x.*").withColumn("close", F.coalesce("close", "adj_close")).where("at is not null and close is not null")
     value = lambda c: F.coalesce(F.col(c), F.col("close")).alias(c)
     return zipped.select(ticker().alias("ticker"), F.timestamp_seconds("at").cast("date").alias("date"), value("open"), value("high"), value("low"), "close", value("adj_close"), F.greatest(F.coalesce("volume", F.lit(0.0)), F.lit(0.0)).cast("bigint").alias("volume"))
 

@@ -39,14 +39,38 @@ def exclusion_reason(benchmarks: tuple[str, ...] = ()) -> Column:
     return why.when(~name.contains("COMMON STOCK"), "not_common_stock_name").otherwise("")
 
 
+_COLUMNS = {"Symbol": "symbol", "ACT Symbol": "symbol", "Security Name": "name", "Exchange": "exchange", "Market Category": "category", "ETF": "etf", "Test Issue": "test_issue", "Financial Status": "financial_status", "NextShares": "nextshares"}
+_FOOTER = "File Creation Time"
+
+
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.option("header", True).option("sep", "|").csv(path)
+    rows = raw.withColumnsRenamed({k: v for k, v in _COLUMNS.items() if k in raw.columns})
+    return rows.withColumns({c: F.lit(None).cast("string") for c in set(_COLUMNS.values()) - set(rows.columns)})
+
+
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a pipe-delimited directory file without its creation-time footer."""
-    raw = spark.read.option("header", True).option("sep", "|").csv(path)
-    names = {"Symbol": "symbol", "ACT Symbol": "symbol", "Security Name": "name", "ETF": "etf", "Test Issue": "test_issue", "Financial Status": "financial_status", "NextShares": "nextshares"}
-    rows = raw.withColumnsRenamed({k: v for k, v in names.items() if k in raw.columns})
-    rows = rows.withColumns({c: F.lit(None).cast("string") for c in set(names.values()) - set(rows.columns)})
-    return rows.where(~F.coalesce(F.col("symbol"), F.lit("")).startswith("File Creation Time"))
+    return _raw(spark, path).where(~F.coalesce(F.col("symbol"), F.lit("")).startswith(_FOOTER))
+
+
+def creation_time(spark: SparkSession, path: str) -> str | None:
+    """What the footer of a directory file says."""
+    row = _raw(spark, path).where(F.col("symbol").startswith(_FOOTER)).select("symbol").first()
+    return row.symbol.partition(":")[2].strip() if row else None
+
+
+def accepted(directory: DataFrame, benchmarks: tuple[str, ...] = (), as_of: str | None = None, url: str = "") -> DataFrame:
+    """The universe rows of the symbols that pass the screen."""
+    text = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    rows = directory.where(exclusion_reason(benchmarks) == "")
+    ticker = F.upper(F.trim("symbol"))
+    return rows.select(
+        ticker.alias("ticker"), F.coalesce(text("name"), ticker).alias("name"), F.coalesce(text("exchange"), text("category"), F.lit("UNKNOWN")).alias("exchange"), F.lit("stock").alias("asset_type"), F.lit(True).alias("active"),
+        F.lit(None).cast("double").alias("market_cap"), F.lit("UNKNOWN").alias("sector"), F.lit("nasdaq_trader_symbol_directory_current_screen").alias("source"), F.coalesce(F.lit(as_of), F.current_date().cast("string")).alias("as_of_date"),
+        F.coalesce(text("name"), F.lit("")).alias("security_name"), F.lit(url).alias("symbol_directory_url"),
+    )
 
 
-def exclusion_counts(directory: DataFrame) -> DataFrame:
-    return directory.select(exclusion_reason().alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
+def exclusion_counts(directory: DataFrame, benchmarks: tuple[str, ...] = ()) -> DataFrame:
+    return directory.select(exclusion_reason(benchmarks).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
