@@ -5,11 +5,15 @@ every context of up to ``DEPTH`` preceding bytes a node keeps the zeros and ones
 texts. A node predicts with the Krichevsky-Trofimov estimate, and contexts of all depths are mixed with
 the weights of context-tree weighting: Pw(s) = Pe(s) / 2 + product of Pw(longer contexts) / 2. The
 score of a text is the log10 probability of its bytes and one end mark under the mixture, A-Z in lower
-case; contexts that training never saw leave the prediction to the shorter ones.
+case. One departure from the textbook form: a context that training never saw leaves the prediction to the
+shorter ones, where a textbook node without counts would mix in one half for each bit.
 
 Counts are gathered per block of documents, then summed by n-gram. The tree of each two-byte context is
-worked out by itself, only the 65,536 nodes below single bytes meet on the driver, and every block gets
-back the values of its own n-grams: the model is never in one place, and nothing is pruned.
+worked out by itself; a hot one, with a noticeable share of all n-grams, falls into its three-byte contexts,
+whose sums meet again for the few hot ones alone. Only the nodes of those and the 65,536 below single
+bytes meet on the driver, and every block gets back the values of its own n-grams: the model is never in
+one place, and nothing is pruned. The numbers of blocks and of tasks grow with the corpus, so that what a
+task holds does not.
 
 Nulls count as empty texts, which have one token, the end. Repeated rows are scored alike. Extra
 columns are ignored. Without training texts all estimates are the prior's.
@@ -30,8 +34,10 @@ from .scratch import written
 
 DEPTH = 5
 END = 0xFF
-#: Bytes of text that a block holds on average.
-BLOCK_BYTES = 32 << 20
+#: Bytes of text that a block holds on average, and n-grams that a task works out, about.
+BLOCK_BYTES, TASK_GRAMS = 32 << 20, 400_000
+#: A two-byte context is hot from this share of all n-grams, if that is so many at least.
+HOT_SHARE, HOT_GRAMS = 1 / 256, 4_000
 
 U64 = np.uint64
 _WORD = U64(1 << 63)
@@ -92,7 +98,7 @@ def block_counts(table: pa.Table) -> pa.Table:
             if len(keys):
                 parts.append(_unique(keys, 0 if out else 1))
             parts.append((_END_WORD, np.array([0 if out else len(some)])))
-        if sum(len(p[0]) for p in parts) > 6_000_000:
+        if sum(len(p[0]) for p in parts) > 3_000_000:
             parts = [_counted(parts)]
     keys, n = _counted(parts)
     return pa.table({"block": pa.array(np.full(len(keys), block, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
@@ -128,16 +134,17 @@ def _sums(ids: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Forest:
-    """The context trees of some n-grams, depths 2 to ``DEPTH``: their nodes are worked out bit by bit.
+    """The context trees of some n-grams, depths ``low`` to ``DEPTH``: their nodes are worked out bit by bit.
 
     At each depth the n-grams are cut to that many context bytes and sorted once; the nodes of any bit of
     the last byte are then runs of that order.
     """
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, low: int = 2):
         self.cut: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.low = low
         place = np.arange(len(keys))
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, low - 1, -1):
             short = (keys if d == DEPTH else keys >> U64(16) << U64(8)) | keys & U64(255)
             order = np.argsort(short, kind="stable")
             begin = _begin(short[order])
@@ -150,7 +157,7 @@ class Forest:
         """By depth: node ids, zeros, ones, ln(Pe / product of longer), ln Pw, and each n-gram's node."""
         out: dict[int, tuple] = {}
         below = None
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, self.low - 1, -1):
             keys, n, place = self.cut[d]
             ids = keys >> U64(8 - bit)
             begin = _begin(ids)
@@ -181,13 +188,27 @@ def mixed(q: np.ndarray, seen: np.ndarray, zeros: np.ndarray, ones: np.ndarray,
 
 
 class Top:
-    """Depths 0 and 1 for all contexts: dense arrays over 256 x 256 nodes."""
+    """Depths 0 and 1 for all contexts, dense arrays over 256 x 256 nodes, and depth 2 for the hot ones.
 
-    def __init__(self, rows: list[tuple[int, int, int, float]]):
+    ``rows`` hold sums over the contexts below a node: node, zeros, ones, ln of the product of their Pw.
+    Nodes of depth 1 are numbered byte << 8 | bits, those of depth 2 behind them 1 << 24 | pair << 8 | bits.
+    """
+
+    def __init__(self, rows: list[tuple[int, int, int, float]], hot: np.ndarray | None = None):
+        self.hot = np.zeros(0, np.int64) if hot is None else np.sort(hot)
         self.zeros, self.ones, below = np.zeros(65536), np.zeros(65536), np.zeros(65536)
         ids = np.array([r[0] for r in rows], np.int64)
-        for target, i in ((self.zeros, 1), (self.ones, 2), (below, 3)):
-            target[ids] = [r[i] for r in rows]
+        sums = [np.array([r[i] for r in rows], np.float64) for i in (1, 2, 3)]
+        deep = ids >> 24 > 0
+        order = np.argsort(ids[deep])
+        self.ids2, (self.zeros2, self.ones2, product) = ids[deep][order] - (1 << 24), [x[deep][order] for x in sums]
+        own = log_kt(self.zeros2, self.ones2)
+        self.ratio2 = own - product
+        weighted = np.logaddexp(own, product) - math.log(2)
+        parent = self.ids2 >> 16 << 8 | self.ids2 & 255
+        for target, shallow, more in ((self.zeros, sums[0], self.zeros2), (self.ones, sums[1], self.ones2), (below, sums[2], weighted)):
+            np.add.at(target, ids[~deep], shallow[~deep])
+            np.add.at(target, parent, more)
         own = log_kt(self.zeros, self.ones)
         self.ratio = own - below
         weighted = np.logaddexp(own, below) - math.log(2)
@@ -204,39 +225,53 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def subtree_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the n-grams of whole two-byte contexts: counts and ln of the products of Pw for the one-byte nodes."""
-    keys, n = _joined(batches)
-    if not len(keys):
-        return
-    forest = Forest(keys, n)
-    for bit in range(8):
-        ids, zeros, ones, _, weighted, _ = forest.bit(bit)[2]
-        last, node = ids >> U64(8 + bit), ids & U64((1 << bit) - 1) | U64(1 << bit)
-        ids, zeros, ones, weighted = _sums(last << U64(8) | node, zeros, ones, weighted)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(zeros), pa.array(ones), pa.array(weighted)], ["node", "zeros", "ones", "weighted"])
+def _parted(keys: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The n-grams by the depth at which their trees are whole: 2, and 3 for hot pairs."""
+    warm = np.isin((keys >> U64(8 * (DEPTH - 1))).astype(np.int64), hot)
+    for low, some in ((2, ~warm), (3, warm)):
+        if some.any():
+            yield low, keys[some], n[some]
+
+
+def subtree_weights(hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the n-grams of whole contexts: counts and ln of the products of Pw for the nodes one byte above."""
+        keys, n = _joined(batches)
+        for low, keys, n in _parted(keys, n, hot):  # noqa: B020
+            forest = Forest(keys, n, low)
+            for bit in range(8):
+                ids, zeros, ones, _, weighted, _ = forest.bit(bit)[low]
+                node = ids & U64((1 << bit) - 1) | U64(1 << bit)
+                above = ids >> U64(8 + bit) << U64(8) | node | (U64(1 << 24) if low == 3 else U64(0))
+                ids, zeros, ones, weighted = _sums(above, zeros, ones, weighted)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(zeros), pa.array(ones), pa.array(weighted)], ["node", "zeros", "ones", "weighted"])
+
+    return run
 
 
 def gram_values(top: Top):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """ln probability of the last byte of each n-gram after the others."""
         keys, n = _joined(batches)
-        if not len(keys):
-            return
-        value = np.zeros(len(keys))
-        forest = Forest(keys, n)
-        last = (keys >> U64(8 * DEPTH)).astype(np.int64)
-        for bit in range(8):
-            one = (keys >> U64(7 - bit) & U64(1)).astype(bool)
-            q, seen = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
-            for _, zeros, ones, ratio, _, own in forest.bit(bit).values():
-                q, seen = mixed(q, seen, zeros[own], ones[own], ratio[own], one)
-            node = ((keys & U64(255)) >> U64(8 - bit) | U64(1 << bit)).astype(np.int64)
-            both = last << 8 | node
-            q, seen = mixed(q, seen, top.zeros[both], top.ones[both], top.ratio[both], one)
-            q, seen = mixed(q, seen, top.zeros0[node], top.ones0[node], top.ratio0[node], one)
-            value += np.log(q)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(value)], ["key", "value"])
+        for low, keys, n in _parted(keys, n, top.hot):  # noqa: B020
+            value = np.zeros(len(keys))
+            forest = Forest(keys, n, low)
+            last = (keys >> U64(8 * DEPTH)).astype(np.int64)
+            pair = (keys >> U64(8 * (DEPTH - 1))).astype(np.int64)
+            for bit in range(8):
+                one = (keys >> U64(7 - bit) & U64(1)).astype(bool)
+                q, seen = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
+                for _, zeros, ones, ratio, _, own in forest.bit(bit).values():
+                    q, seen = mixed(q, seen, zeros[own], ones[own], ratio[own], one)
+                node = ((keys & U64(255)) >> U64(8 - bit) | U64(1 << bit)).astype(np.int64)
+                if low == 3:
+                    at = np.searchsorted(top.ids2, pair << 8 | node)
+                    q, seen = mixed(q, seen, top.zeros2[at], top.ones2[at], top.ratio2[at], one)
+                both = last << 8 | node
+                q, seen = mixed(q, seen, top.zeros[both], top.ones[both], top.ratio[both], one)
+                q, seen = mixed(q, seen, top.zeros0[node], top.ones0[node], top.ratio0[node], one)
+                value += np.log(q)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(value)], ["key", "value"])
 
     return run
 
@@ -290,16 +325,21 @@ def score_documents(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(held_out), F.lit(True)).alias("held_out"))
     total = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text")), F.lit(blocks)).cast("int"))
+    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     counted = written(blocked.groupBy("block").applyInArrow(block_counts, "block int, key bigint, n bigint"), "counts")
     sums = written(counted.groupBy("key").agg(F.sum("n").alias("n")), "sums")
     words = sums.where("key < 0 and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     grams = sums.where("key >= 0").withColumn("pair", F.shiftright("key", 8 * (DEPTH - 1)))
-    trees = grams.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair").select("key", "n")
-    nodes = trees.mapInArrow(subtree_weights, "node bigint, zeros bigint, ones bigint, weighted double")
-    top = Top([tuple(r) for r in nodes.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()])
+    pairs = {r.pair: r.k for r in grams.groupBy("pair").agg(F.count("*").alias("k")).collect()}
+    total = sum(pairs.values())
+    hot = np.array([p for p, k in pairs.items() if k >= max(HOT_GRAMS, HOT_SHARE * total)], np.int64)
+    third = F.when(F.col("pair").isin(*hot.tolist()), F.shiftright("key", 8 * (DEPTH - 2))).otherwise(F.lit(-1)) if len(hot) else F.lit(-1)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_GRAMS)
+    trees = grams.withColumn("third", third.cast("bigint")).repartition(tasks, "pair", "third").select("key", "n")
+    nodes = trees.mapInArrow(subtree_weights(hot), "node bigint, zeros bigint, ones bigint, weighted double")
+    top = Top([tuple(r) for r in nodes.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()], hot)
     values = trees.mapInArrow(gram_values(top), "key bigint, value double")
     values = values.union(sums.where("key < 0").select("key", F.col("n").cast("double").alias("value")))
-    back = counted.select("block", "key").join(values, "key").select("block", "key", "value")
+    back = counted.select("block", "key").join(values, "key").select("block", "key", "value").repartition(blocks, "block")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return blocked.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(int(words.n or 0), int(words.v or 0)), schema)
