@@ -6,13 +6,14 @@ all documents, is a sufficient prefix: documents are scanned for these shingles
 the window would start; length and position must leave room for it, and its words are then compared
 one by one.
 
-The benchmark is taken in blocks of at most ``WINDOWS_PER_BLOCK`` windows, each block's index being
-small enough to send to every task; more blocks are more passes in the same stage. Documents are never
-shuffled.
+The benchmark is read in rounds of at most ``ROUND_WORDS`` words, which the driver holds as plain text. A round's
+shingles are counted in one pass over all documents; its windows are then taken in blocks of at most
+``WINDOWS_PER_BLOCK``, each block's index being small enough to send to every task. All blocks of all rounds
+scan a document in the same stage. Documents are never shuffled.
 
 Words are runs of 0-9, a-z (after A-Z are lower-cased) and characters from U+0080 on. Nulls and empty
-texts have no words and no hits; a null item has no windows. Repeated rows give repeated results; items
-that share an id count once. Extra columns of either table don't matter. An empty benchmark or an empty
+texts have no words and no hits; a null item has no windows; a null item id reads as an empty one. Repeated
+rows give repeated results; items that share an id count once. Extra columns of either table don't matter. An empty benchmark or an empty
 document table gives no hits or no rows.
 """
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from . import text as tx
 
 WINDOW = 13
 SHINGLE = 4
-WINDOWS_PER_BLOCK = 200_000
+WINDOWS_PER_BLOCK, ROUND_WORDS = 200_000, 2_000_000
 
 U64 = np.uint64
 
@@ -74,15 +76,46 @@ class Block:
     def shingles(self) -> dict[int, np.ndarray]:
         return {n: np.unique(np.concatenate([g for k, g in self.grams if k == n])) for n in {k for k, _ in self.grams}}
 
-    def prefixes(self, counts: dict[tuple[int, int], int]) -> dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]:
+    def prefixes(self, totals: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]:
         """By shingle length: the prefix shingles, sorted, and for each the windows with its place in them."""
         found: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        counts: dict[tuple[int, int], int] = {}
+        for n, own in self.shingles().items():
+            keys, seen = totals.get(n, (np.zeros(0, U64), np.zeros(0, np.int64)))
+            hit, at = _found(keys, own) if len(keys) else ((), ())
+            counts |= {(n, int(own[i])): int(seen[j]) for i, j in zip(hit, at, strict=True)}
         for w, (n, grams) in enumerate(self.grams):
             _, gram, at = min((counts.get((n, int(g)), 0), int(g), at) for at, g in enumerate(grams))
             found.setdefault(n, {}).setdefault(gram, []).append((w, at))
         return {n: (np.array(sorted(by), U64), [by[g] for g in sorted(by)]) for n, by in found.items()}
 
 
+def rounds(items: Iterator[tuple[str, str | None]], limit: int) -> Iterator[list[tuple[str, str | None]]]:
+    held: list[tuple[str, str | None]] = []
+    size = 0
+    for item, text in items:
+        more = len((text or "").split()) + 1
+        if held and size + more > limit:
+            yield held
+            held, size = [], 0
+        held.append((item, text))
+        size += more
+    if held:
+        yield held
+
+
+def round_shingles(items: list[tuple[str, str | None]]) -> dict[int, np.ndarray]:
+    """By length, all shingles that the windows of some items hold."""
+    parts: dict[int, list[np.ndarray]] = {}
+    for _, text in items:
+        data = tx.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+        starts, ends, _ = tx.words(data, np.array([0, len(data)]), tx.NON_ALNUM)
+        if len(starts):
+            n = min(SHINGLE, len(starts))
+            parts.setdefault(n, []).append(_runs(tx.word_hashes(data, starts, ends), n))
+    return {n: np.unique(np.concatenate(p)) for n, p in parts.items()}
+
+
 def blocks(items: Iterator[tuple[str, str | None]], limit: int) -> Iterator[Block]:
     held: list[tuple[str, list[bytes]]] = []
     size = 0
@@ -172,11 +205,19 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, limit: int = WINDOWS_P
     out = docs.select("*", F.lit(0).cast("bigint").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     schema = out.schema
     any_block = False
-    for block in blocks(((r.item_id, r.text) for r in items.toLocalIterator()), limit):
-        counts = docs.select("text").mapInArrow(_counting(block.shingles()), "length int, gram bigint, count bigint")
-        totals = {(r.length, r.gram & (2**64 - 1)): r.n for r in counts.groupBy("length", "gram").agg(F.sum("count").alias("n")).collect()}
-        out = out.mapInArrow(_scanning(block, block.prefixes(totals)), schema)
-        any_block = True
+    for held in rounds(((r.item_id, r.text) for r in items.toLocalIterator()), ROUND_WORDS):
+        shingles = round_shingles(held)
+        counts = docs.select("text").mapInArrow(_counting(shingles), "length int, gram bigint, count bigint").groupBy("length", "gram").agg(F.sum("count").alias("n"))
+        table = counts.toArrow() if shingles else None
+        totals = {}
+        for n in shingles:
+            own = table.filter(pa.compute.equal(table.column("length"), n))
+            grams, seen = own.column("gram").to_numpy().view(U64), own.column("n").to_numpy()
+            order = np.argsort(grams)
+            totals[n] = (grams[order], seen[order])
+        for block in blocks(iter(held), limit):
+            out = out.mapInArrow(_scanning(block, block.prefixes(totals)), schema)
+            any_block = True
     return out if any_block else out.mapInArrow(_scanning(Block([]), {}), schema)
 
 
