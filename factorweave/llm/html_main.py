@@ -186,6 +186,7 @@ class Reader:
             self._push(tag, attributes)
 
     def _read(self, page: str) -> None:
+        page = page.removesuffix("</").removesuffix("<")
         at, size = 0, len(page)
         unclosed: set[str] = set()
         while True:
