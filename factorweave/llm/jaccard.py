@@ -515,7 +515,8 @@ def _labelled_with(docs: DataFrame, scratch: Scratch) -> DataFrame:
             return scratch.written(pairs.join(ga, "a").join(gb, "b").mapInArrow(_similar, "a bigint, b bigint"), "edges")
 
     # a group's hub is the member that shares most with all others: likely what its copies were made from
-    sizes = groups.groupBy("sig").agg(F.count("*").alias("size"))
+    # (what is summed by group is written, so that the joins with it can split a giant group)
+    sizes = scratch.written(groups.groupBy("sig").agg(F.count("*").alias("size")), "sizes")
     weights = groups.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("weight"))
     hubs = groups.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("hub")).select("sig", F.col("hub.node").alias("b"))
     hubs = scratch.written(hubs, "hubs")
@@ -526,8 +527,9 @@ def _labelled_with(docs: DataFrame, scratch: Scratch) -> DataFrame:
     labels = linked_components(edges)
     tagged = groups.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     mixed = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    mixed = scratch.written(mixed, "mixed")
     open_ = scratch.written(tagged.join(mixed, "sig", "left_semi"), "open")
-    pieces = open_.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
+    pieces = scratch.written(open_.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces")), "pieces")
     cut = open_.join(pieces, "sig").join(nodes.select("node", "n", "sketch"), "node")
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
