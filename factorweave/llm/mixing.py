@@ -8,8 +8,8 @@ trial of each document; the trials of about ``GROUP`` documents of one source sh
 by size, so that every fraction-th of them is taken: each keeps its probability, while the words taken
 stay near the target however uneven the sizes are. A hot source falls into as many groups as it needs.
 
-Null or wordless texts have size 0. Null sources form one source, sorted last. Equal rows are drawn by
-the same hash and count one by one. If all sizes are 0 all targets are 0. Extra columns are kept. An
+Null or wordless texts have size 0. Null sources form one source, sorted last. Rows of one id and text are
+ordered by their other columns; rows equal in all columns count one by one. If all sizes are 0 all targets are 0. Extra columns are kept. An
 empty table gives an empty result. The result doesn't depend on the partitions.
 """
 
@@ -64,7 +64,8 @@ def with_copies(docs: DataFrame) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("mix_rate", rate).withColumn("mix_group", F.col("mix_hash") % F.ceil(F.col("mix_docs") / GROUP))
     start = _hash60("start", F.col("source"), F.col("mix_group")).cast("double") / _UNIT
-    place = F.row_number().over(Window.partitionBy("source", "mix_group").orderBy(F.col("size").desc(), F.col("mix_hash")))
+    rest = [F.col(n) for n in sorted(names) if n not in ("doc_id", "text", "source") and "map" not in docs.schema[n].dataType.simpleString() and "variant" not in docs.schema[n].dataType.simpleString()]
+    place = F.row_number().over(Window.partitionBy("source", "mix_group").orderBy(F.col("size").desc(), F.col("mix_hash"), F.xxhash64(F.lit("rest"), *rest)))
     rows = rows.withColumn("mix_place", place).withColumn("mix_start", start).withColumn("mix_part", F.col("mix_rate") - F.floor("mix_rate"))
     once_more = F.floor(F.col("mix_place") * F.col("mix_part") + F.col("mix_start")) - F.floor((F.col("mix_place") - 1) * F.col("mix_part") + F.col("mix_start"))
     return rows.withColumn("copies", (F.floor("mix_rate") + once_more).cast("bigint")).select(*names, "size", "source_size", "target", "copies")
