@@ -7,8 +7,10 @@ against the entries active when it was fetched: its host's suffixes and its path
 equi-joined with the patterns, then the interval decides. The longest active pattern wins; of equal
 patterns 'allow' wins over 'block'.
 
-Decisions are made once for each distinct URL and fetch time, so a hot host or repeated captures cost
-nothing extra, and joined back. A null URL or fetch time and a URL without a host match nothing and are
+Decisions are made once for each distinct URL and fetch time and joined back. The list's intervals are
+counted: up to ``BROADCAST`` of them go to every task; a longer list is joined by pattern and salt, so
+that a pattern which nearly all captures share (a listed top-level domain, a hot host) meets them in
+``SALTS`` tasks and more. A null URL or fetch time and a URL without a host match nothing and are
 kept. Entries with a null pattern, time or action are ignored; of entries of one pattern, kind and time
 'remove' wins. Repeated entries count once. Extra columns of captures are kept. Empty tables: no
 entries block nothing; no captures give no rows.
@@ -20,6 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Intervals, at most, that are sent to every task, some 100 bytes each; parts of a pattern's captures beyond that.
+BROADCAST, SALTS = 200_000, 64
+
+
 def list_intervals(entries: DataFrame) -> DataFrame:
     """``pattern, kind, category, valid_from, valid_until`` (null: still valid) from dated entries."""
     known = entries.where("pattern is not null and at is not null and action in ('add', 'remove')")
@@ -53,7 +59,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     keys = asked.select("url", "fetched_at", F.explode(F.array_distinct(url_patterns())).alias("pattern"))
     spans = list_intervals(entries)
     active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col("fetched_at") < F.col("valid_until")))
-    met = keys.join(spans, "pattern").where(active)
+    if spans.count() <= BROADCAST:
+        met = keys.join(F.broadcast(spans), "pattern").where(active)
+    else:
+        salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = keys.withColumn("salt", F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"]).where(active)
     best = F.max(F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("allow"), F.col("pattern"), F.col("category"))).alias("best")
     decided = met.groupBy(F.col("url").alias("d_url"), F.col("fetched_at").alias("d_at")).agg(best)
     out = captures.join(decided, (F.col("url") == F.col("d_url")) & (F.col("fetched_at") == F.col("d_at")), "left")
