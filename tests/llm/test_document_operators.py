@@ -126,6 +126,8 @@ def test_mixing(docs, rows, no_docs):
         assert v[0].source_size == total and v[0].target <= 2 * total
         assert abs(sum(r["size"] * r.copies for r in v) - v[0].target) <= max((r["size"] for r in v), default=0)
     assert Counter(map(str, out)) == Counter(map(str, mixing.with_copies(docs.repartition(7)).collect()))
+    twins = docs.sparkSession.createDataFrame([(7, "a b c", f"l{i}", "s") for i in range(40)] + [(i, "d " * i, "x", "t") for i in range(40)], "doc_id bigint, text string, lang string, source string")
+    assert Counter(map(str, mixing.with_copies(twins).collect())) == Counter(map(str, mixing.with_copies(twins.orderBy(F.rand(1)).repartition(5)).collect()))
     assert mixing.mixed(docs).count() == sum(r.copies for r in out) and mixing.mixed(docs).columns == docs.columns
     assert mixing.with_copies(no_docs).count() == 0
 
@@ -190,6 +192,8 @@ def test_decontamination_equals_brute_force(spark, docs, rows, no_docs, monkeypa
     expected = Counter((r[0], *brute_hits(r[1], items)) for r in rows)
     assert Counter(tuple(r) for r in decontaminate.contamination(docs, bench).collect()) == expected
     monkeypatch.setattr(decontaminate, "WINDOWS_PER_BLOCK", 10)
+    monkeypatch.setattr(decontaminate, "ROUND_WORDS", 30)
+    assert Counter(tuple(r) for r in decontaminate.contamination(docs, bench).collect()) == expected
     assert Counter(tuple(r) for r in decontaminate.benchmark_hits(docs.select("doc_id", "text"), bench, 10).select("doc_id", "n_words").collect()) == Counter((r[0], e[1]) for r in rows for e in [(0, len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (r[1] or "").translate(LOWER))))])
     kept = decontaminate.decontaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in expected.items() if not k[-1])
@@ -248,6 +252,40 @@ def test_toxicity(spark, docs, rows, no_docs):
     assert {r.score for r in toxicity.scored(known, untrained).collect()} == {toxicity.scored(no_docs.unionByName(docs), untrained).first().score}
 
 
+def test_toxicity_scores_equal_a_plain_computation(spark, docs, rows):
+    # windows, lengths and the logistic model, word by word
+    import numpy as np
+
+    from factorweave.llm import text as tx
+
+    rng = random.Random(9)
+    plain = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(20))
+    texts = [(i, f"{plain()} {rng.choice(['Idiot!', 'fool ###']) if i % 4 == 0 else 'friend'} {plain()}") for i in range(300)]
+    known = spark.createDataFrame(texts, "doc_id bigint, text string")
+    model = toxicity.trained(known, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id bigint, toxic int"))
+    toxic, ordinary = model.dictionaries.pair()
+
+    def code(word):
+        data = np.frombuffer(word, np.uint8)
+        hashed = lambda d: tx.word_hashes(d, np.array([0]), np.array([len(d)]))
+        return tx.mix(hashed(data[: toxicity.STEM_BYTES])).tobytes() + hashed(data).tobytes()
+
+    def score(text):
+        folded = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or "")
+        codes = [code(w.encode()) for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", folded)]
+        windows = [b"".join(codes[i : i + toxicity.WINDOW]) for i in range(0, len(codes), toxicity.WINDOW)]
+        saved = [len(ordinary(w)) - len(toxic(w)) for w in windows]
+        x = [0.0] * 5
+        if saved:
+            hits = [d >= toxicity.SAVED for d in saved]
+            x = [math.log1p(max(0, *saved, 0)), math.log1p(sum(hits)), sum(hits) / len(hits), math.log1p(sum(max(0, d) for d in saved)), math.log1p(len(saved))]
+        z = sum(a * b for a, b in zip(x, model.weights, strict=False)) + model.weights[-1]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    got = sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.scored(docs, model).collect())
+    assert got == sorted((str(r[0]), round(score(r[1]), 9)) for r in rows)
+
+
 def brute_ctw(train, text):
     """Context-tree weighting with plain recursion: ln probability of a text and its end."""
     counts = defaultdict(lambda: [0, 0])
@@ -313,6 +351,16 @@ def test_ctw_equals_brute_force(spark, docs, rows, no_docs, monkeypatch):
     assert ctw.score_documents(no_docs.withColumn("held_out", F.lit(True))).count() == 0
 
 
+def test_ctw_does_not_depend_on_hot_contexts(spark, docs, monkeypatch):
+    marked = docs.withColumn("held_out", F.col("doc_id") % 5 == 1)
+    monkeypatch.setattr(ctw, "HOT_GRAMS", 1 << 60)
+    plain = sorted((r.doc_id or -1, r.score) for r in ctw.score_documents(marked).collect())
+    monkeypatch.setattr(ctw, "HOT_GRAMS", 1)
+    monkeypatch.setattr(ctw, "HOT_SHARE", 1e-4)
+    split = sorted((r.doc_id or -1, r.score) for r in ctw.score_documents(marked).collect())
+    assert all(a == b and math.isclose(x, y, rel_tol=1e-9) for (a, x), (b, y) in zip(plain, split, strict=True))
+
+
 def test_ctw_is_a_distribution():
     # the probabilities of all last bytes after one context add up to one
     import numpy as np
@@ -322,6 +370,6 @@ def test_ctw_is_a_distribution():
     keys = np.unique(np.concatenate((seen & ~np.uint64(255) | np.arange(256, dtype=np.uint64)[:, None]).astype(np.uint64), axis=None))
     n = np.array([int((seen == k).sum()) for k in keys])
     batch = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
-    nodes = [row for b in ctw.subtree_weights(iter([batch])) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    nodes = [row for b in ctw.subtree_weights(np.zeros(0, np.int64))(iter([batch])) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     (out,) = ctw.gram_values(ctw.Top(nodes))(iter([batch]))
     assert math.isclose(np.exp(out.column(1).to_numpy()).sum(), 1.0, rel_tol=1e-9)

@@ -115,7 +115,7 @@ def day(text):
     return dt.date.fromisoformat(text)
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     entries = [
         ("bad.com", "block", "spam", day("2024-01-01"), "add"), ("bad.com", "block", "spam", day("2024-01-01"), "add"), ("bad.com", "block", "spam", day("2024-02-01"), "add"), ("bad.com", "block", "spam", day("2024-03-01"), "remove"),
         ("bad.com", "block", "spam", day("2024-05-01"), "add"), ("ok.bad.com", "allow", "good", day("2024-01-01"), "add"), ("site.org/a/b", "block", "path", day("2024-01-01"), "add"), (None, "block", "x", day("2024-01-01"), "add"), ("bad.com", None, None, None, "add"),
@@ -128,5 +128,7 @@ def test_url_filter(spark):
     table = spark.createDataFrame(entries, "pattern string, kind string, category string, at date, action string")
     out = url_filter.filter_urls(captures, table).collect()
     assert len(out) == 2 * len(cases) and all(r.blocked == cases[r.page_id][2] for r in out)
+    monkeypatch.setattr(url_filter, "BROADCAST", 0)
+    assert Counter(map(str, url_filter.filter_urls(captures, table).collect())) == Counter(map(str, out))
     assert url_filter.filter_urls(captures, table.limit(0)).where("blocked").count() == 0
     assert url_filter.filter_urls(captures.limit(0), table).count() == 0
