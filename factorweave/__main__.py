@@ -90,7 +90,7 @@ def _run(args: argparse.Namespace) -> None:
     if args.provider == "csv":
         if not Path(args.prices_file).exists() and "://" not in args.prices_file:
             raise FileNotFoundError(f"no prices at {args.prices_file}")
-        prices = loaders.prices_csv(spark, args.prices_file)
+        prices = loaders.adjusted(loaders.prices_csv(spark, args.prices_file))
         told |= {"source": f"csv:{args.prices_file}"}
     else:
         got = _fetched(spark, args, asked)
@@ -108,6 +108,8 @@ def _run(args: argparse.Namespace) -> None:
     files = [p for p in (args.prices_file, args.universe_file, args.fundamentals_file) if p and Path(p).is_file()]
     if files:
         told["source_hash"] = sinks.source_hash(files)
+    if args.universe_file:
+        told["universe_name"] = Path(args.universe_file).stem
     if args.universe_metadata_file:
         told |= {f"universe_build_{k}": v for k, v in json.loads(Path(args.universe_metadata_file).read_text()).items()}
     said = pipeline.metadata(tables, settings, told)

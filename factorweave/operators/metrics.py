@@ -80,3 +80,9 @@ def ranking(table: DataFrame) -> DataFrame:
 def with_scores(table: DataFrame, ranks: DataFrame) -> DataFrame:
     """Metrics with the composite score of ranked factors, 0 for the others, in ranking order."""
     return table.join(ranks.select("factor", "composite_score", "rank"), "factor", "left").select("factor", *NAMES, F.coalesce("composite_score", F.lit(0.0)).alias("composite_score"), "rank").orderBy(F.asc_nulls_last("rank"), "factor").drop("rank")
+
+
+def winner_holdout(ranks: DataFrame, late: DataFrame) -> DataFrame:
+    """The factor that ranks first with its rank and ratios in the holdout, null if it isn't ranked there."""
+    there = late.select("factor", *(F.col(c).alias(f"holdout_{c}") for c in ("rank", "cagr", "sharpe")))
+    return ranks.where("rank = 1").select("factor", "composite_score").join(there, "factor", "left")

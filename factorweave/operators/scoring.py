@@ -95,3 +95,12 @@ def ranked(scores: DataFrame) -> DataFrame:
     """Ranks 1..n of the eligible rows of a factor and date, by score down and ticker up."""
     order = Window.partitionBy("factor", "signal_date", "eligible").orderBy(F.desc("score"), "ticker")
     return scores.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(order))).select("factor", "ticker", "signal_date", "score", "rank", "eligible", "skip_reason")
+
+
+def rows_for(scores: DataFrame, factor: str, signal_date: object) -> DataFrame:
+    """The rows of one factor and date."""
+    return scores.where((F.col("factor") == factor) & (F.col("signal_date") == F.lit(signal_date)))
+
+
+def factor_names(scores: DataFrame) -> list[str]:
+    return [r.factor for r in scores.select("factor").distinct().orderBy("factor").collect()]  # one row for each factor

@@ -93,7 +93,7 @@ def metadata(tables: dict[str, DataFrame], config: RunConfig, provider: dict | N
     now = (at or dt.datetime.now(dt.UTC)).isoformat(timespec="seconds")
     named = lambda prefix, row, keys: {f"{prefix}{k}": row.get(k) for k in keys}
     return {
-        "provider": "csv", "fetched_at": now, **(provider or {}),
+        "provider": "csv", "fetched_at": now,
         "universe_as_of_date": facts.get("as_of"), "universe_name": facts.get("name"), "universe_ticker_count": facts.get("tickers"), "rankable_stock_universe_count": facts.get("rankable"),
         "price_ticker_count": covered.get("priced"), "requested_ticker_count": covered.get("requested"), "price_coverage_ratio": covered.get("ratio"),
         "latest_data_reference_date": covered.get("reference_date"), "latest_data_ticker_count": covered.get("ticker_count"), "latest_data_coverage_ratio": covered.get("coverage_ratio"),
@@ -111,6 +111,7 @@ def metadata(tables: dict[str, DataFrame], config: RunConfig, provider: dict | N
         "benchmark_tickers": benchmarks, "benchmark_label": benchmark_label(benchmarks[0]) if benchmarks else None, "benchmark_stale_tickers": [t for t in (covered.get("stale_benchmarks") or "").split(",") if t],
         "benchmark_return_count": tables["benchmark_returns"].count() if "benchmark_returns" in tables else 0,
         "holdout_validation": {"method": "recent_tail_by_factor", "holdout_fraction": config.holdout_fraction, "min_periods": config.holdout_periods} | {f"best_factor_holdout_{k}": late[k] if late else None for k in ("rank", "cagr", "sharpe")},
+        **(provider or {}),
     }
 
 

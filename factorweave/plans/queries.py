@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import registry
 from ..functions.registry import Factor
 from ..operators import calendar, comparison, diagnostics, metrics, portfolio, scoring
-from ..sources import loaders, symbols
-from . import gates, panel
-from .store import kept
+from ..sources import loaders, sinks, symbols
+from . import gates, panel, scale
+from .store import kept, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -350,9 +351,17 @@ def _zoo_values(spark, sf_dir):
     )
 
 
-@_query("family_summary", None)
+_CATALOG_SQL = ", ".join(f"('{f.name}', '{f.kind}', '{f.category}', {len(f.needs)})" for f in registry.REGISTRY.values())
+
+
+@_query("family_summary", f"""with c(factor, kind, category, needs) as (values {_CATALOG_SQL}), k as (select category, kind, count(*) as n from c group by 1, 2),
+m as (select category, string_agg(kind || ':' || n, ',' order by kind) as kinds from k group by 1)
+select c.category, count(*) as factors, array_to_string(list_sort(list(factor))[1:6], ',') as examples, count(*) filter (where needs > 0) as fundamental, any_value(m.kinds) as kinds from c join m on c.category = m.category group by 1""")
 def _families(spark, sf_dir):
-    return registry.family_summary(registry.catalog(spark))
+    """The registry's families: it reads no table, nor does its SQL."""
+    out = registry.family_summary(registry.catalog(spark))
+    kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return out.select("category", "factors", F.array_join("examples", ",").alias("examples"), "fundamental", kinds.alias("kinds"))
 
 
 # --- portfolios
@@ -631,6 +640,103 @@ def _active(spark, sf_dir):
     return panel.universe(spark, sf_dir).where(portfolio.is_stock()).select("ticker", "market_cap")
 
 
+def _file(df: DataFrame, label: str) -> str:
+    """A table as CSV in the shared folder; all its columns are text."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("header", True).csv(path)
+    return path
+
+
+_DAYS_SQL = f"select *, day(date) as d from ({panel.PRICES_SQL})"
+
+
+@_query("csv_prices", f"""select ticker, date, case when d % 5 = 0 then close else open end as open, case when d % 4 = 0 then close else high end as high, low, close, case when d % 3 = 0 then close else adj_close end as adj_close, case when d % 6 = 0 then 0 else cast(floor(volume) as bigint) end as volume, 'fixture' as fetched_at
+from ({_DAYS_SQL}) where d % 13 <> 0 and not (d % 11 = 0 and ticker like '%1')""")
+def _csv_prices(spark, sf_dir):
+    """Prices through a file with untidy tickers, times behind dates, words for numbers, gaps, NaN and blank tickers."""
+    day = F.dayofmonth("date")
+    text = lambda c: F.col(c).cast("string")
+    rows = panel.prices(spark, sf_dir).select(
+        F.when((day % 11 == 0) & F.col("ticker").endswith("1"), F.lit("  ")).when(day % 2 == 0, F.concat(F.lit(" "), F.lower("ticker"))).otherwise(F.col("ticker")).alias("ticker"), F.concat(text("date"), F.lit("T16:00:00")).alias("date"),
+        F.when(day % 5 == 0, "n/a").otherwise(text("open")).alias("open"), F.when(day % 4 != 0, text("high")).alias("high"), text("low").alias("low"), text("close").alias("close"),
+        F.when(day % 13 == 0, "NaN").when(day % 3 != 0, text("adj_close")).alias("adj_close"), F.when(day % 6 == 0, "-").otherwise(text("volume")).alias("volume"),
+    )
+    out = loaders.prices_csv(spark, _file(rows, "prices"))
+    return out.select(F.concat(F.lit("Brand#"), F.substring("ticker", 7, 9)).alias("ticker"), "date", "open", "high", "low", "close", "adj_close", "volume", "fetched_at")
+
+
+@_query("csv_universe", f"""select upper(ticker) as ticker, upper(ticker) as name, 'UNKNOWN' as exchange, 'stock' as asset_type, ticker not like '%2' and ticker not like '%3' as active, case when ticker not like '%4' then market_cap end as market_cap, 'unknown' as as_of_date from ({panel.UNIVERSE_SQL})""")
+def _csv_universe(spark, sf_dir):
+    last = F.right("ticker", F.lit(1))
+    active = F.when(last == "1", "YES").when(last == "2", "no").when(last == "3", "maybe")
+    rows = panel.universe(spark, sf_dir).select(F.concat("ticker", F.lit(" ")).alias("ticker"), active.alias("active"), F.when(last == "4", "big").otherwise(F.col("market_cap").cast("string")).alias("market_cap"))
+    return loaders.universe_csv(spark, _file(rows, "universe")).select("ticker", "name", "exchange", "asset_type", "active", "market_cap", "as_of_date")
+
+
+@_query("csv_fundamentals", f"select upper(ticker) as ticker, cast(available_at as date) as available_at, case when month(available_at) <> 5 then pe_ratio end as pe_ratio, cast(return_on_equity as double) as return_on_equity from ({panel.FUNDAMENTALS_SQL})")
+def _csv_fundamentals(spark, sf_dir):
+    rows = panel.fundamentals(spark, sf_dir).select(
+        F.lower("ticker").alias("ticker"), F.col("available_at").cast("string").alias("available_at"), F.when(F.month("available_at") == 5, "none").otherwise(F.col("pe_ratio").cast("string")).alias("pe_ratio"), F.col("return_on_equity").cast("string").alias("return_on_equity")
+    )
+    return loaders.fundamentals_csv(spark, _file(rows, "fundamentals")).select("ticker", "available_at", "pe_ratio", "return_on_equity")
+
+
+@_query("inferred_universe", f"select distinct ticker, ticker as name, 'stock' as asset_type, true as active, 'inferred_from_prices' as source from ({panel.PRICES_SQL})")
+def _inferred(spark, sf_dir):
+    return loaders.inferred_universe(panel.prices(spark, sf_dir)).select("ticker", "name", "asset_type", "active", "source")
+
+
+@_query("chart_payloads", f"""select ticker, date, open, case when day(date) % 4 = 0 then close else high end as high, low, close, case when day(date) % 3 = 0 then close else adj_close end as adj_close, case when day(date) % 5 = 0 then 0 else cast(floor(volume) as bigint) end as volume
+from (select ticker, date, open, high, low, case when day(date) % 7 = 0 then adj_close else close end as close, adj_close, volume from ({panel.PRICES_SQL}) where not (day(date) % 7 = 0 and day(date) % 3 = 0))""")
+def _chart(spark, sf_dir):
+    """Prices through chart payloads, a document of arrays for each ticker, with nulls in them and volumes below 0."""
+    day = F.dayofmonth("date")
+    bar = F.struct(
+        "date", F.unix_date("date").cast("bigint").alias("d"), "open", F.when(day % 4 != 0, F.col("high")).alias("high"), "low", F.when(day % 7 != 0, F.col("close")).alias("close"), F.when(day % 5 == 0, -1.0).otherwise(F.col("volume")).alias("volume"), F.when(day % 3 != 0, F.col("adj_close")).alias("adj")
+    )
+    held = panel.prices(spark, sf_dir).groupBy("ticker").agg(F.sort_array(F.collect_list(bar)).alias("b"))
+    column = lambda c: F.transform("b", lambda x: x[c])
+    quote = F.struct(*(column(c).alias(c) for c in ("open", "high", "low", "close", "volume")))
+    result = F.struct(F.transform("b", lambda x: x["d"] * 86_400 + 50_000).alias("timestamp"), F.struct(F.array(quote).alias("quote"), F.array(F.struct(column("adj").alias("adjclose"))).alias("adjclose")).alias("indicators"))
+    payload = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), {"ignoreNullFields": "false"})
+    out = loaders.chart_json(held.select("ticker", payload.alias("payload")))
+    return out.select(F.concat(F.lit("Brand#"), F.substring("ticker", 7, 9)).alias("ticker"), "date", "open", "high", "low", "close", "adj_close", "volume")
+
+
+@_query("replaced_histories", f"""with p as ({panel.PRICES_SQL}) select ticker, date, case when ticker like '%1' then 2 * adj_close else adj_close end as adj_close from p where ticker not like '%1' or date >= date '1996-01-01'""")
+def _replaced(spark, sf_dir):
+    """Histories of recovered tickers are replaced as a whole, however much of them was there."""
+    rows = panel.prices(spark, sf_dir).select("ticker", "date", "adj_close")
+    return loaders.replace_histories(rows, rows.where(F.col("ticker").endswith("1") & (F.col("date") >= "1996-01-01")).withColumn("adj_close", 2 * F.col("adj_close")))
+
+
+@_query("safe_export", "select p_partkey, case p_partkey % 6 when 0 then chr(39) || '=' when 1 then chr(39) || '+' when 2 then chr(39) || '-' when 3 then chr(39) || '@' when 4 then ' ' else '' end || p_name as name from part")
+def _safe(spark, sf_dir):
+    """Texts that a spreadsheet would take for formulas, as exported."""
+    sign = F.element_at(F.array(*map(F.lit, ("=", "+", "-", "@", " ", ""))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(sign, "p_name").alias("name"))
+    return rows.select("p_partkey", sinks.safe_text("name").alias("name"))
+
+
+@_query("metrics_in_order", _SCORED + _METRICS.format(rows="returns") + _RNK.replace("select cast(row_number()", ", shown as (select cast(row_number()").replace("round(composite_score, 5) as composite_score", "composite_score") + "), kept as (select * from shown where factor <> 'f_vol') select m.factor, round(coalesce(k.composite_score, 0), 5) as composite_score, cast(row_number() over (order by k.rank nulls last, m.factor) as integer) as place from met m left join kept k on m.factor = k.factor")
+def _in_order(spark, sf_dir):
+    """Metrics with scores: in ranking order, 0 and last where a factor isn't ranked."""
+    table = kept(metrics.metrics(_returns(spark, sf_dir)), "metrics")
+    rows = metrics.with_scores(table, metrics.ranking(table).where("factor <> 'f_vol'")).collect()  # a row for each factor
+    return spark.createDataFrame([(r.factor, round(r.composite_score, 5), i + 1) for i, r in enumerate(rows)], "factor string, composite_score double, place int")
+
+
+@_query("winner_holdout", _SCORED + _HOLD + ", winner as (select factor from (" + _SCORED.replace("with prices as", "with prices as", 1) + _METRICS.format(rows="returns") + _RNK + ") where rank = 1)" + _METRICS.format(rows="tail") + _RNK.replace("select cast(row_number()", ", late as (select cast(row_number()") + ") select w.factor, l.rank as holdout_rank, round(m.cagr, 4) as holdout_cagr, round(m.sharpe, 4) as holdout_sharpe from winner w left join late l on w.factor = l.factor left join met m on w.factor = m.factor")
+def _winner(spark, sf_dir):
+    """The factor that ranks first, and how it does in the holdout."""
+    returns = _returns(spark, sf_dir)
+    late = metrics.ranking(metrics.metrics(metrics.holdout(returns)))
+    out = metrics.winner_holdout(metrics.ranking(metrics.metrics(returns)), late)
+    return out.select("factor", F.col("holdout_rank").cast("int").alias("holdout_rank"), F.round("holdout_cagr", 4).alias("holdout_cagr"), F.round("holdout_sharpe", 4).alias("holdout_sharpe"))
+
+
+_query("backtest_scale", scale.SQL)(lambda s, d: scale.returns(s).select("factor", "period_start", "period_end", (F.round("return", 9) + F.lit(0.0)).alias("ret"), F.round("turnover", 9).alias("turnover"), "holdings_count"))
+
 # a directory of symbols made of parts: their numbers give every kind of row that the screen tells apart
 _KINDS = ("Common Stock", "Warrant", "ETF Trust", "Growth Fund", "Notes due", "Preferred A", "Units", "Rights", "American Depositary", "Ordinary Shares", "Acquisition Corp", "Convertible", "Common Stock", "Class A", "Common Stock")
 _DIRECTORY_SQL = f"""select *, case p_partkey % {len(_KINDS)} {' '.join(f"when {i} then p_name || ' {k}'" for i, k in enumerate(_KINDS))} end as name,

@@ -33,11 +33,14 @@ def last_of(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def prices_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Typed prices: rows without a ticker, a date or an adjusted close are dropped; ``line`` is a row's place in the file."""
+    """Typed prices: rows without a ticker, a date or an adjusted close are dropped; ``line`` is a row's place in the file.
+
+    Numbers that can't be read are missing: an adjusted close is the close then, unless the file says NaN.
+    """
     raw = _csv(spark, path, ("ticker", "date", "open", "high", "low", "close", "adj_close", "volume", "source", "fetched_at"))
     close = number("close")
     rows = raw.select(
-        ticker().alias("ticker"), day("date").alias("date"), *(F.coalesce(number(c), close).alias(c) for c in ("open", "high", "low")), close.alias("close"), F.coalesce(number("adj_close"), close).alias("adj_close"),
+        ticker().alias("ticker"), day("date").alias("date"), *(F.coalesce(number(c), close).alias(c) for c in ("open", "high", "low")), close.alias("close"), F.when(~F.coalesce(F.isnan(F.col("adj_close").try_cast("double")), F.lit(False)), F.coalesce(number("adj_close"), close)).alias("adj_close"),
         F.coalesce(number("volume"), F.lit(0.0)).cast("bigint").alias("volume"), F.coalesce("source", F.lit(f"csv:{path.rstrip('/').rpartition('/')[2]}")).alias("source"), F.coalesce("fetched_at", F.lit("fixture")).alias("fetched_at"),
         F.monotonically_increasing_id().alias("line"),
     )
@@ -49,11 +52,11 @@ def universe_csv(spark: SparkSession, path: str) -> DataFrame:
     text = lambda c, d: F.coalesce(F.nullif(F.trim(c), F.lit("")), d if isinstance(d, Column) else F.lit(d)).alias(c)
     said = F.lower(F.trim("active"))
     active = F.when(said.isNull() | (said == ""), True).otherwise(said.isin("1", "true", "yes", "y", "active"))
-    return raw.select(ticker().alias("ticker"), text("name", ticker()), text("exchange", "UNKNOWN"), text("asset_type", "stock"), active.alias("active"), number("market_cap").alias("market_cap"), text("sector", "UNKNOWN"), "source", "as_of_date", F.monotonically_increasing_id().alias("line")).where("ticker <> ''")
+    return raw.select(ticker().alias("ticker"), text("name", ticker()), text("exchange", "UNKNOWN"), text("asset_type", "stock"), active.alias("active"), number("market_cap").alias("market_cap"), text("sector", "UNKNOWN"), text("source", f"csv:{path.rstrip('/').rpartition('/')[2]}"), text("as_of_date", "unknown"), F.monotonically_increasing_id().alias("line")).where("ticker <> ''")
 
 
 def inferred_universe(prices: DataFrame) -> DataFrame:
-    return prices.select("ticker").distinct().select("ticker", F.col("ticker").alias("name"), F.lit("UNKNOWN").alias("exchange"), F.lit("stock").alias("asset_type"), F.lit(True).alias("active"), F.lit(None).cast("double").alias("market_cap"), F.lit("UNKNOWN").alias("sector"))
+    return prices.select("ticker").distinct().select("ticker", F.col("ticker").alias("name"), F.lit("UNKNOWN").alias("exchange"), F.lit("stock").alias("asset_type"), F.lit(True).alias("active"), F.lit(None).cast("double").alias("market_cap"), F.lit("UNKNOWN").alias("sector"), F.lit("inferred_from_prices").alias("source"), F.lit("unknown").alias("as_of_date"))
 
 
 def fundamentals_csv(spark: SparkSession, path: str) -> DataFrame:
