@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -83,6 +83,7 @@ def _unique(keys: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
 def block_counts(table: pa.Table) -> pa.Table:
     """The keys of a block's texts and how often its training texts have them."""
     parts: list = []
+    most = 1_000_000
     block = table.column("block")[0].as_py()
     for piece in tx.pieces(table, "text"):
         held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
@@ -98,8 +99,9 @@ def block_counts(table: pa.Table) -> pa.Table:
             if len(keys):
                 parts.append(_unique(keys, 0 if out else 1))
             parts.append((_END_WORD, np.array([0 if out else len(some)])))
-        if sum(len(p[0]) for p in parts) > 3_000_000:
+        if sum(len(p[0]) for p in parts) > most:
             parts = [_counted(parts)]
+            most = max(1_000_000, 2 * len(parts[0][0]))
     keys, n = _counted(parts)
     return pa.table({"block": pa.array(np.full(len(keys), block, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
@@ -316,6 +318,19 @@ def _scores(train_tokens: int, distinct: int):
     return run
 
 
+def block_ids(spark: SparkSession, blocks: int) -> list[int]:
+    """Ids for so many blocks that hash partitioning deals each to a partition of its own."""
+    tried = spark.range(24 * blocks).select(F.col("id").cast("int").alias("id"))
+    found = tried.groupBy(F.pmod(F.hash("id"), F.lit(blocks)).alias("part")).agg(F.min("id").alias("id")).collect()
+    spare = iter(range(24 * blocks, 25 * blocks))
+    own = {r.part: r.id for r in found}
+    return [own[p] if p in own else next(spare) for p in range(blocks)]
+
+
+#: Blocks, at most, whose ids are chosen; of more the unequal shares even out among the many tasks.
+CHOSEN = 4096
+
+
 def score_documents(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
@@ -325,7 +340,10 @@ def score_documents(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(held_out), F.lit(True)).alias("held_out"))
     total = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text")), F.lit(blocks)).cast("int")
+    if blocks <= CHOSEN:
+        block = F.get(F.array(*map(F.lit, block_ids(docs.sparkSession, blocks))), block)
+    blocked = docs.withColumn("block", block).repartition(blocks, "block")
     counted = written(blocked.groupBy("block").applyInArrow(block_counts, "block int, key bigint, n bigint"), "counts")
     sums = written(counted.groupBy("key").agg(F.sum("n").alias("n")), "sums")
     words = sums.where("key < 0 and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
