@@ -82,7 +82,7 @@ class Frames:
     """The windowed columns that kernels ask for, by name; the same request gives the same column.
 
     Lags and counts are window functions, which cost the same at any width. An aggregate of a frame costs its
-    width in every row, so it is taken at signal rows alone, from an array of the trailing rows.
+    width in every row, so it is taken at signal rows alone, from slices of one array of a ticker's rows.
     """
 
     def __init__(self) -> None:
@@ -153,9 +153,26 @@ class Frames:
         means = _let(a, "a", _let(b, "b", _let(_MEAN, "m", _let(_MEAN.replace("(a,", "(b,").replace("(a)", "(b)"), "k", "aggregate(zip_with(a, b, (p, q) -> (p - m) * (q - k)), 0D, (s, v) -> s + v) / nullif(size(a), 0)"))))
         return self._once(f"cov_{x}_{y}_{w}", means)
 
-    def trail(self) -> list[Column]:
-        """The array of trailing rows, if an aggregate needs one."""
-        return [F.collect_list(F.struct(*sorted(self.series))).over(trailing(self.longest)).alias("trail")] if self.longest else []
+    def at_signals(self, rows: DataFrame, dates: list) -> DataFrame:
+        """``ticker, signal_date``, lags and, if an aggregate needs them, the trailing rows, at signal rows alone.
+
+        A row stands for the dates from its own to the next row's. Each ticker's series become one array, as long as its
+        history; of that only the slices that end at signal rows are made.
+        """
+        names = list(self.lags)
+        days = F.array(*(F.lit(d) for d in sorted(dates))) if dates else F.expr("cast(array() as array<date>)")
+        until = F.lead("date").over(by_ticker())
+        wide = rows.select("ticker", "date", "n", *self.lags.values(), *(F.col(c).alias(f"row_{c}") for c in sorted(self.series)), until.alias("until"))
+        wide = wide.withColumn("signals", F.filter(days, lambda d: (d >= F.col("date")) & (F.col("until").isNull() | (d < F.col("until")))))
+        if not self.longest:
+            return wide.select("ticker", F.explode("signals").alias("signal_date"), *names)
+        mark = F.when(F.size("signals") > 0, F.struct("n", "signals", F.struct(*names).alias("lags") if names else F.lit(None).cast("int").alias("lags")))
+        row = F.struct("date", F.struct(*(F.col(f"row_{c}").alias(c) for c in sorted(self.series))).alias("row"))
+        held = wide.groupBy("ticker").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.collect_list(mark).alias("marks"))
+        w = F.lit(self.longest)
+        ends = F.transform("marks", lambda m: F.struct(m.alias("mark"), F.slice(F.col("rows"), F.greatest(m["n"] - w + 1, F.lit(1)), F.least(m["n"], w)).alias("part")))
+        cut = held.select("ticker", F.explode(ends).alias("x")).select("ticker", F.explode("x.mark.signals").alias("signal_date"), F.col("x.mark.lags").alias("lags"), F.transform("x.part", lambda r: r["row"]).alias("trail"))
+        return cut.select("ticker", "signal_date", *(F.col("lags")[c].alias(c) for c in names), "trail")
 
     def aggregated(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the aggregates in place of the trailing rows."""

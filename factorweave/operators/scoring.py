@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,8 +55,7 @@ def base_scores(prices: DataFrame, dates: list, factors: list[Factor], fundament
     """
     frames = kernels.Frames()
     pairs = {f.name: kernels.kernel(f.kind, frames, **f.params) for f in factors}
-    at = signal_rows(kernels.prepared(prices).select("ticker", "date", *frames.lags.values(), *frames.trail()), dates)
-    at = frames.aggregated(at)
+    at = frames.aggregated(frames.at_signals(kernels.prepared(prices), dates))
     needed = sorted({f.params["field"] for f in factors if f.kind == "fundamental"})
     if needed:
         have = [n for n in needed if fundamentals is not None and n in fundamentals.columns]
@@ -78,11 +77,17 @@ def blended(scores: DataFrame, blends: list[Factor]) -> DataFrame:
     return part.select(F.col("blend").alias("factor"), "ticker", "signal_date", F.when(whole, F.col("mean")).alias("score"), whole.alias("eligible"), F.when(whole, "").otherwise(kernels.IH).alias("skip_reason"))
 
 
-def factor_scores(prices: DataFrame, dates: list, names: Iterable[str], fundamentals: DataFrame | None = None) -> DataFrame:
-    """``factor, ticker, signal_date, score, rank, eligible, skip_reason`` of the named factors alone."""
+def factor_scores(prices: DataFrame, dates: list, names: Iterable[str], fundamentals: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``factor, ticker, signal_date, score, rank, eligible, skip_reason`` of the named factors alone.
+
+    ``keep`` stores a table and reads it back: with it all base factors, parts of blends among them, are computed in one pass.
+    """
     names = validated(names)
     every = [REGISTRY[n] for n in with_parts(names)]
     base, blends = [f for f in every if f.kind != "composite"], [f for f in every if f.kind == "composite"]
+    if blends and keep:
+        every_base = keep(base_scores(prices, dates, base, fundamentals))
+        return ranked(every_base.unionByName(blended(every_base.where(F.col("factor").isin(sorted({p for f in blends for p in f.parts}))), blends)).where(F.col("factor").isin(names)))
     scores = base_scores(prices, dates, [f for f in base if f.name in names], fundamentals)
     if blends:
         # a plan of their own for the parts: few of the factors, so few of the frames

@@ -56,7 +56,7 @@ def run(spark: SparkSession, config: RunConfig, prices: DataFrame, universe: Dat
     summary = diagnostics.eligibility_summary(by_date)
     gates.enough_eligible(int(summary.first().latest_eligible or 0), config.min_eligible)
 
-    scores = kept(scoring.factor_scores(stocks, dates[:-1], names, fundamentals), "scores")
+    scores = kept(scoring.factor_scores(stocks, dates[:-1], names, fundamentals, lambda df: kept(df, "base_scores")), "scores")
     tested = portfolio.backtest(scores, universe, stocks, periods, dates, config.rules)
     returns, holdings = kept(tested["returns"], "returns"), kept(tested["holdings"], "holdings")
     table = kept(metrics.metrics(returns, config.frequency), "metrics")

@@ -279,9 +279,9 @@ select factor, skip_reason, count(*) as n from (select factor, skip_reason from
 @_query("zoo_scores", _zoo_sql())
 def _zoo(spark, sf_dir):
     """All registered factors at once, counted by reason: the widest plan there is."""
-    prices = panel.prices(spark, sf_dir)
+    prices = kept(panel.prices(spark, sf_dir), "panel")
     dates = _dates(calendar.rebalance_dates(prices))[:-1]
-    rows = scoring.factor_scores(prices, dates, registry.preset("zoo"), panel.fundamentals(spark, sf_dir))
+    rows = scoring.factor_scores(prices, dates, registry.preset("zoo"), panel.fundamentals(spark, sf_dir), lambda df: kept(df, "base_scores"))
     return rows.groupBy("factor", "skip_reason").agg(F.count("*").alias("n"))
 
 
@@ -343,7 +343,7 @@ def _zoo_values(spark, sf_dir):
     """The scores of all registered factors, by factor: how many, how large, and two sums that tell rows apart."""
     prices = kept(panel.prices(spark, sf_dir), "panel")
     dates = _dates(calendar.rebalance_dates(prices))[:-1]
-    rows = scoring.factor_scores(prices, dates, registry.preset("zoo"), panel.fundamentals(spark, sf_dir)).where("eligible")
+    rows = scoring.factor_scores(prices, dates, registry.preset("zoo"), panel.fundamentals(spark, sf_dir), lambda df: kept(df, "base_scores")).where("eligible")
     top, tiny = F.max(F.abs("score")), F.lit(1e-12)
     place = 1 + (F.dayofmonth("signal_date") + F.ascii(F.right("ticker", F.lit(1)))) % 7
     return rows.groupBy("factor").agg(
