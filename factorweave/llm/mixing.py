@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch, written
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
@@ -36,22 +38,41 @@ def _hash60(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("bigint")
 
 
+def _dealt(rows: DataFrame, order: list[Column], scratch: Scratch, label: str) -> DataFrame:
+    """``rows`` dealt over parts by ranges of ``order``, written with the number of their part, so that parts stay what they are."""
+    return scratch.written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), label)
+
+
+def _before(rows: DataFrame, **sums: Column) -> DataFrame:
+    """For each part the sums over the parts before it. There are no more parts than shuffle partitions."""
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("part").agg(*(c.alias(n) for n, c in sums.items())).select("part", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``source, n_docs, source_size, target`` from rows of ``source, size``."""
-    per = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    by_name = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (by_name % len(weights) + 1).cast("int"))
-    per = per.withColumn("place", by_name).withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
-    order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("place").asc())
-    before, all_ = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    total = share * F.sum("source_size").over(all_)
-    capped = F.coalesce(F.sum("cap").over(before), F.lit(0))
-    left = F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    level = (total - capped) / left
-    per = per.withColumn("level", level).withColumn("open", F.col("cap") / F.col("weight") > F.col("level")).withColumn("at", F.row_number().over(order))
-    found = F.min_by(F.when(F.col("open"), F.col("level")), F.when(F.col("open"), F.col("at"))).over(all_)
-    full = F.col("cap").cast("double")
-    return per.withColumn("found", found).select("source", "n_docs", "source_size", F.when(F.col("found").isNull(), full).otherwise(F.least(full, F.col("weight") * F.col("found"))).alias("target"))
+    """``source, n_docs, source_size, target`` from rows of ``source, size``.
+
+    Sources are numbered and their caps summed in ranges: sums within a part, and sums of the parts before it.
+    """
+    with Scratch(sizes.sparkSession) as scratch:
+        per = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
+        by_name = [F.col("source").asc_nulls_last()]
+        named = _dealt(per, by_name, scratch, "sources")
+        place = F.col("rows_before") + F.row_number().over(Window.partitionBy("part").orderBy(*by_name)) - 1
+        per = named.join(F.broadcast(_before(named, rows_before=F.count("*"))), "part").withColumn("place", place).drop("part", "rows_before")
+        per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size"))
+        by_cap = [(F.col("cap") / F.col("weight")).asc(), F.col("place").asc()]
+        caps = _dealt(per, by_cap, scratch, "caps")
+        whole = caps.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).first()
+        inside = Window.partitionBy("part").orderBy(*by_cap)
+        running = lambda c: F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = caps.join(F.broadcast(_before(caps, caps_before=F.sum("cap"), weights_before=F.sum("weight"))), "part")
+        level = (F.lit(share * float(whole.words or 0)) - (F.col("caps_before") + running("cap"))) / (F.lit(whole.weights or 0) - (F.col("weights_before") + running("weight")))
+        rows = rows.withColumn("level", level).withColumn("at", F.row_number().over(inside)).where(F.col("cap") / F.col("weight") > F.col("level"))
+        found = rows.agg(F.min_by("level", F.struct("part", "at"))).first()[0]
+        full = F.col("cap").cast("double")
+        target = full if found is None else F.least(full, F.col("weight") * F.lit(found))
+        return written(caps.select("source", "n_docs", "source_size", target.alias("target")), "targets")
 
 
 def with_copies(docs: DataFrame) -> DataFrame:
