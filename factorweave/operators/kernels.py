@@ -22,7 +22,82 @@ def by_ticker():
     return Window.partitionBy("ticker").orderBy("date")
 
 
-Pair = tuple[Column, Column]
+class Sql:
+    """SQL text that combines like a column. Hundreds of kernels are built as text and parsed once, instead of node by node over the gateway."""
+
+    __slots__ = ("text",)
+    __hash__ = None
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @staticmethod
+    def of(value: object) -> str:
+        if isinstance(value, Sql):
+            return value.text
+        if isinstance(value, bool):
+            return str(value).lower()
+        if isinstance(value, float):
+            return f"{value!r}D"
+        return str(value) if isinstance(value, int) else "'" + str(value) + "'"
+
+    def _with(self, sign: str, other: object, turned: bool = False) -> Sql:
+        a, b = Sql.of(self), Sql.of(other)
+        return Sql(f"({b} {sign} {a})" if turned else f"({a} {sign} {b})")
+
+    def __add__(self, other: object) -> Sql:
+        return self._with("+", other)
+
+    def __sub__(self, other: object) -> Sql:
+        return self._with("-", other)
+
+    def __rsub__(self, other: object) -> Sql:
+        return self._with("-", other, True)
+
+    def __mul__(self, other: object) -> Sql:
+        return self._with("*", other)
+
+    def __truediv__(self, other: object) -> Sql:
+        return self._with("/", other)
+
+    def __gt__(self, other: object) -> Sql:
+        return self._with(">", other)
+
+    def __ge__(self, other: object) -> Sql:
+        return self._with(">=", other)
+
+    def __eq__(self, other: object) -> Sql:  # type: ignore[override]
+        return self._with("=", other)
+
+    def __and__(self, other: object) -> Sql:
+        return self._with("and", other)
+
+    def __rand__(self, other: object) -> Sql:
+        return self._with("and", other, True)
+
+    def __neg__(self) -> Sql:
+        return Sql(f"(-{self.text})")
+
+    def __invert__(self) -> Sql:
+        return Sql(f"(not {self.text})")
+
+    def __getitem__(self, field: str) -> Sql:
+        return Sql(f"{self.text}.{field}")
+
+    def known(self) -> Sql:
+        return Sql(f"({self.text} is not null)")
+
+
+def case(*branches: tuple[object, object], otherwise: object = None) -> Sql:
+    body = " ".join(f"when {Sql.of(c)} then {Sql.of(v)}" for c, v in branches)
+    return Sql(f"(case {body}{'' if otherwise is None else f' else {Sql.of(otherwise)}'} end)")
+
+
+def column(name: str) -> Sql:
+    return Sql(f"`{name}`")
+
+
+Pair = tuple[Sql, Sql]
 
 
 def frame(first: int, last: int = 0):
@@ -91,23 +166,24 @@ class Frames:
         self.series: set[str] = set()
         self.longest = 0
 
-    def now(self, column: str) -> Column:
-        self.lags.setdefault(f"now_{column}", F.col(column).alias(f"now_{column}"))
-        return F.col(f"now_{column}")
+    def now(self, name: str) -> Sql:
+        if f"now_{name}" not in self.lags:
+            self.lags[f"now_{name}"] = F.col(name).alias(f"now_{name}")
+        return column(f"now_{name}")
 
-    def lag(self, column: str, k: int) -> Column:
+    def lag(self, name: str, k: int) -> Sql:
         if not k:
-            return self.now(column)
-        name = f"lag_{column}_{k}"
-        self.lags.setdefault(name, F.lag(column, k).over(by_ticker()).alias(name))
-        return F.col(name)
+            return self.now(name)
+        own = f"lag_{name}_{k}"
+        if own not in self.lags:
+            self.lags[own] = F.lag(name, k).over(by_ticker()).alias(own)
+        return column(own)
 
-    def full(self, column: str, w: int) -> Column:
+    def full(self, name: str, w: int) -> Sql:
         """Whether the last ``w`` rows all have a value."""
-        count = f"count_{column}"
-        return self.now(count) - F.coalesce(self.lag(count, w), F.lit(0)) == w
+        return self.now(f"count_{name}") - Sql(f"coalesce({self.lag(f'count_{name}', w).text}, 0)") == w
 
-    def rows(self, w: int) -> Column:
+    def rows(self, w: int) -> Sql:
         return self.now("n") >= w
 
     def _values(self, column: str, w: int, skip: int = 0) -> str:
@@ -118,36 +194,36 @@ class Frames:
         found = f"slice({column}_trail, {first} + 1, greatest(size({column}_trail) - {skip} - {first}, 0))"
         return f"array_compact({found})" if column in GAPPY else found
 
-    def _once(self, name: str, sql: str) -> Column:
+    def _once(self, name: str, sql: str) -> Sql:
         if name not in self.aggregates:
             self.aggregates[name] = F.expr(sql)
-        return F.col(name)
+        return column(name)
 
-    def least(self, column: str, w: int) -> Column:
+    def least(self, column: str, w: int) -> Sql:
         return self._once(f"min_{column}_{w}", f"array_min({self._values(column, w)})")
 
-    def most(self, column: str, w: int, skip: int = 0) -> Column:
+    def most(self, column: str, w: int, skip: int = 0) -> Sql:
         return self._once(f"max_{column}_{w}_{skip}", f"array_max({self._values(column, w, skip)})")
 
-    def total(self, column: str, w: int) -> Column:
+    def total(self, column: str, w: int) -> Sql:
         return self._once(f"sum_{column}_{w}", _let(self._values(column, w), "a", _SUM))
 
-    def mean(self, column: str, w: int, skip: int = 0) -> Column:
+    def mean(self, column: str, w: int, skip: int = 0) -> Sql:
         return self._once(f"mean_{column}_{w}_{skip}", _let(self._values(column, w, skip), "a", _MEAN))
 
-    def worst(self, column: str, w: int, k: int) -> Column:
+    def worst(self, column: str, w: int, k: int) -> Sql:
         """The mean of the ``k`` smallest values."""
         return self._once(f"worst_{column}_{w}_{k}", _let(f"slice(array_sort({self._values(column, w)}), 1, {k})", "a", _MEAN))
 
-    def spread(self, column: str, w: int, skip: int = 0) -> Column:
+    def spread(self, column: str, w: int, skip: int = 0) -> Sql:
         """The population standard deviation."""
         return self._once(f"spread_{column}_{w}_{skip}", _let(self._values(column, w, skip), "a", _let(_CENTRE, "m", f"sqrt({_M2})")))
 
-    def shape(self, column: str, w: int) -> Column:
+    def shape(self, column: str, w: int) -> Sql:
         """A struct of the second to fourth central moments."""
         return self._once(f"shape_{column}_{w}", _let(self._values(column, w), "a", _let(_CENTRE, "m", f"named_struct('m2', {_M2}, 'm3', {_M3}, 'm4', {_M4})")))
 
-    def covariance(self, x: str, y: str, w: int) -> Column:
+    def covariance(self, x: str, y: str, w: int) -> Sql:
         """The population covariance."""
         a, b = self._values(x, w), self._values(y, w)
         means = _let(a, "a", _let(b, "b", _let(_MEAN, "m", _let(_MEAN.replace("(a,", "(b,").replace("(a)", "(b)"), "k", "aggregate(zip_with(a, b, (p, q) -> (p - m) * (q - k)), 0D, (s, v) -> s + v) / nullif(size(a), 0)"))))
@@ -183,18 +259,18 @@ class Frames:
         return apart.withColumns(self.aggregates).drop(*(f"{c}_trail" for c in self.series))
 
 
-def given(ok: Column, score: Column, reason: str = IH) -> Pair:
-    good = F.coalesce(ok, F.lit(False))
-    return F.when(good, score), F.when(good, F.lit("")).otherwise(F.lit(reason))
+def given(ok: Sql, score: Sql, reason: str = IH) -> Pair:
+    good = Sql(f"coalesce({ok.text}, false)")
+    return case((good, score)), case((good, ""), otherwise=reason)
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return a / F.nullif(b, F.lit(0.0))
+def _ratio(a: Sql, b: Sql) -> Sql:
+    return Sql(f"({a.text} / nullif({b.text}, 0.0D))")
 
 
 def momentum(at: Frames, lookback: int, skip: int = 0) -> Pair:
     start = at.lag("c", lookback)
-    return given(F.lit(skip < lookback) & (start > 0), _ratio(at.lag("c", skip), start) - 1)
+    return given((start > 0) & (skip < lookback), _ratio(at.lag("c", skip), start) - 1)
 
 
 def reversal(at: Frames, lookback: int) -> Pair:
@@ -210,7 +286,7 @@ def volatility(at: Frames, window: int, measure: str = "total") -> Pair:
 
 def return_skew(at: Frames, window: int) -> Pair:
     m = at.shape("r", window)
-    return given(at.full("r", window) & (m["m2"] > 0), _ratio(m["m3"], F.pow(m["m2"], F.lit(1.5))))
+    return given(at.full("r", window) & (m["m2"] > 0), _ratio(m["m3"], Sql(f"power({m['m2'].text}, 1.5D)")))
 
 
 def return_kurtosis(at: Frames, window: int) -> Pair:
@@ -225,7 +301,8 @@ def tail_loss(at: Frames, window: int) -> Pair:
 
 def trend_efficiency(at: Frames, window: int) -> Pair:
     start = at.lag("c", window)
-    return given(start > 0, F.coalesce(_ratio(_ratio(at.now("c"), start) - 1, at.total("path", window)), F.lit(0.0)))
+    net = _ratio(_ratio(at.now("c"), start) - 1, at.total("path", window))
+    return given(start > 0, Sql(f"coalesce({net.text}, 0.0D)"))
 
 
 def return_consistency(at: Frames, window: int) -> Pair:
@@ -244,28 +321,28 @@ def liquidity(at: Frames, window: int) -> Pair:
 
 def illiquidity(at: Frames, window: int) -> Pair:
     enough, traded = at.full("r", window), at.full("traded", window)
-    return F.when(enough & traded, -at.mean("cost", window) * 1e6), F.when(~enough, IH).when(~traded, IV).otherwise("")
+    return case((enough & traded, -at.mean("cost", window) * 1e6)), case((~enough, IH), (~traded, IV), otherwise="")
 
 
 def volume_trend(at: Frames, short: int, long: int) -> Pair:
     enough, base = at.rows(long), at.mean("dv", long)
-    return F.when(enough & (base > 0), _ratio(at.mean("dv", short), base) - 1), F.when(~enough, IH).when(base > 0, "").otherwise(IV)
+    return case((enough & (base > 0), _ratio(at.mean("dv", short), base) - 1)), case((~enough, IH), (base > 0, ""), otherwise=IV)
 
 
 def volume_shock(at: Frames, short: int, long: int) -> Pair:
     if short >= long:
-        return F.lit(None).cast("double"), F.lit(IH)
+        return NONE, Sql(Sql.of(IH))
     mean, spread = at.mean("dv", long - short, short), at.spread("dv", long - short, short)
     enough, traded, recent = at.rows(long), at.full("traded", long), at.mean("dv", short)
-    score = F.when(spread > 0, _ratio(recent - mean, spread)).otherwise(_ratio(recent, mean) - 1)
-    return F.when(enough & traded, score), F.when(~enough, IH).when(~traded, IV).otherwise("")
+    score = case((spread > 0, _ratio(recent - mean, spread)), otherwise=_ratio(recent, mean) - 1)
+    return case((enough & traded, score)), case((~enough, IH), (~traded, IV), otherwise="")
 
 
 def price_volume_corr(at: Frames, window: int) -> Pair:
     # deviations from paired rows only: both series must be whole in the frame
     score = _ratio(at.covariance("r", "dv_change", window), at.spread("r", window) * at.spread("dv_change", window))
     enough, traded, whole = at.rows(window + 1), at.full("dv_change", window), at.full("r", window)
-    return F.when(enough & traded & whole, score), F.when(~enough, IH).when(~traded, IV).when(whole & score.isNotNull(), "").otherwise(IH)
+    return case((enough & traded & whole, score)), case((~enough, IH), (~traded, IV), (whole & score.known(), ""), otherwise=IH)
 
 
 def moving_average_gap(at: Frames, window: int) -> Pair:
@@ -313,11 +390,13 @@ def acceleration(at: Frames, short: int, long: int, skip: int = 0) -> Pair:
 
 def fundamental(at: Frames, field: str, direction: str) -> Pair:
     """From the as-of column that scoring attaches; a lower value is better only if it is above 0."""
-    value = F.col(field)
-    ok = value.isNotNull() & ~F.isnan(value)
+    value = column(field)
+    ok = value.known() & Sql(f"(not isnan({value.text}))")
     return given(ok & (value > 0), -value, MISSING) if direction == "negative" else given(ok, value, MISSING)
 
 
+NONE = Sql("cast(null as double)")
+
 KERNELS: dict[str, Callable[..., Pair]] = {
     k.__name__: k
     for k in (
@@ -330,5 +409,5 @@ KERNELS: dict[str, Callable[..., Pair]] = {
 def kernel(kind: str, at: Frames, **params) -> Pair:
     """The pair of a kind; unknown kinds report an error in every row."""
     if kind not in KERNELS:
-        return F.lit(None).cast("double"), F.lit(ERROR)
+        return NONE, Sql(Sql.of(ERROR))
     return KERNELS[kind](at, **params)

@@ -41,8 +41,8 @@ def fundamentals_asof(signals: DataFrame, fundamentals: DataFrame) -> DataFrame:
 
 
 def _melted(wide: DataFrame, factors: list[Factor], pairs: dict[str, kernels.Pair]) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(f.name).alias("factor"), pairs[f.name][0].alias("score"), pairs[f.name][1].alias("reason")) for f in factors))
-    long = wide.select("ticker", "signal_date", F.explode(rows).alias("x")).select("ticker", "signal_date", "x.*")
+    rows = ", ".join(f"named_struct('factor', '{f.name}', 'score', cast({pairs[f.name][0].text} as double), 'reason', {pairs[f.name][1].text})" for f in factors)
+    long = wide.select("ticker", "signal_date", F.expr(f"explode(array({rows}))").alias("x")).select("ticker", "signal_date", "x.*")
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     reason = F.when(F.col("reason") != "", F.col("reason")).when(finite, "").otherwise(kernels.ERROR)
     return long.select("factor", "ticker", "signal_date", F.when(reason == "", F.col("score")).alias("score"), (reason == "").alias("eligible"), reason.alias("skip_reason"))
