@@ -255,6 +255,11 @@ def read_media(stored: DataFrame) -> DataFrame:
     return stored.select(*names).mapInArrow(run, schema)
 
 
+def write_pcm(stored: DataFrame, path: str) -> None:
+    """Write the files' 16 kHz PCM as a binary column beside their other columns; the files themselves are left out."""
+    read_media(stored).drop("media", "payload").write.parquet(path)
+
+
 def media_digests(docs: DataFrame) -> DataFrame:
     """Digests of the stored files of ``docs`` and of what they give back."""
     read = read_media(store_payloads(docs))

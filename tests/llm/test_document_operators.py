@@ -210,12 +210,15 @@ def test_media_round_trip(spark, docs, rows, no_docs):
     assert all(r.error and r.pcm is None for r in media.read_media(broken).collect())
 
 
-def test_media_reads_every_codec_and_survives_bad_files(spark, docs):
+def test_media_reads_every_codec_and_survives_bad_files(spark, docs, tmp_path):
     out = media.read_media(media.store_payloads(docs)).collect()
     assert {r.codec for r in out} == {media.MU_LAW, media.A_LAW, media.IMA_ADPCM} and not any(r.error for r in out)
     for r in out:
         tag, rate, block, data = media.read_wav(bytes(r.media))
         assert bytes(r.pcm) == media.resample(media.decode(tag, data, block), rate).astype("<i2").tobytes()
+    media.write_pcm(media.store_payloads(docs), str(tmp_path / "pcm"))
+    again = spark.read.parquet(str(tmp_path / "pcm"))
+    assert "media" not in again.columns and Counter((r.doc_id, bytes(r.pcm)) for r in again.collect()) == Counter((r.doc_id, bytes(r.pcm)) for r in out)
     wav = media.wav_file
     bad = [wav(b"ab", rate=0), wav(b"ab", rate=1), wav(b"ab", channels=2), wav(b"abc", media.PCM, block=3, bits=24), wav(b"ab", media.IMA_ADPCM, block=0, bits=4), wav(b"ab")[:-3], b"", None, wav(b"ab", 0x55)]
     good = [wav(b"abcd", media.PCM, block=2, bits=16), wav(b"ab", media.PCM), wav(b"", media.A_LAW), wav(b"", media.IMA_ADPCM, block=36, bits=4), wav(b"abcdefg", media.IMA_ADPCM, block=5, bits=4)]
