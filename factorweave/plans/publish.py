@@ -92,7 +92,10 @@ def _page(title: str, tables: Mapping[str, list[dict]], bars: Mapping[str, str])
 
 
 def write_artifacts(tables: Mapping[str, DataFrame], folder: str | Path, metadata: Mapping, config: Mapping, prices: DataFrame | None = None, scores: bool = True) -> None:
-    """Tables, configuration, metadata and both reports of a run; the scores may be left out."""
+    """Tables, configuration, metadata and both reports of a run; the scores may be left out.
+
+    The driver writes the small files, executors the snapshots: on a cluster ``folder`` must be mounted on all of them.
+    """
     root, tables = Path(folder), with_latest(tables)
     for name, file in FILES.items():
         if name in tables:
