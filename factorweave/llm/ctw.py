@@ -44,20 +44,27 @@ _WORD = U64(1 << 63)
 _END_WORD = np.array([tx.mix_int(0xE0F) | 1 << 63], U64)
 
 
-def byte_grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and the end mark of each text, the ``DEPTH`` bytes before it, nearest first, and itself; offsets."""
+#: N-grams of a text that are made at once; a longer text takes several rounds.
+SPAN_GRAMS = 1 << 20
+
+
+def byte_grams(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+    """For each byte and the end mark of each text, the ``DEPTH`` bytes before it, nearest first, and itself, in spans."""
     n_docs = len(off) - 1
     step = DEPTH + 1
-    sizes = np.diff(off)
-    padded = np.full(len(data) + n_docs * step + DEPTH, END, np.uint8)
-    begin = off[:-1] + DEPTH + step * np.arange(n_docs)
-    padded[np.arange(len(data)) + np.repeat(begin - off[:-1], sizes)] = data
     total = len(data) + n_docs
-    at = np.arange(total) + np.repeat((begin - (off[:-1] + np.arange(n_docs))), sizes + 1)
-    grams = np.zeros(total, U64)
-    for i in [*range(1, DEPTH + 1), 0]:
-        grams = grams << U64(8) | padded[at - i]
-    return grams, off + np.arange(n_docs + 1)
+    padded = np.full(len(data) + n_docs * step + DEPTH, END, np.uint8)
+    first = off[:-1] + np.arange(n_docs)  # a text's first place among all
+    begin = off[:-1] + DEPTH + step * np.arange(n_docs)  # and among the padded bytes
+    for i in range(n_docs):
+        padded[begin[i] : begin[i] + off[i + 1] - off[i]] = data[off[i] : off[i + 1]]
+    for a in range(0, total, SPAN_GRAMS):
+        place = np.arange(a, min(total, a + SPAN_GRAMS))
+        at = place + (begin - first)[np.searchsorted(first, place, "right") - 1]
+        grams = np.zeros(len(place), U64)
+        for i in [*range(1, DEPTH + 1), 0]:
+            grams = grams << U64(8) | padded[at - i]
+        yield grams
 
 
 def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +100,7 @@ def block_counts(table: pa.Table) -> pa.Table:
                 continue
             data, off = tx.flat(some.column("text"))
             data = tx.LOWER[data]
-            grams, _ = byte_grams(data, off)
-            parts.append(_unique(grams, 0 if out else 1))
+            parts += [_unique(grams, 0 if out else 1) for grams in byte_grams(data, off)]
             keys, _ = word_keys(data, off)
             if len(keys):
                 parts.append(_unique(keys, 0 if out else 1))
@@ -293,8 +299,8 @@ def _scores(train_tokens: int, distinct: int):
         for piece in tx.pieces(docs, "text"):
             data, off = tx.flat(piece.column("text"))
             data = tx.LOWER[data]
-            found, at = byte_grams(data, off)
-            columns["score"].append(np.add.reduceat(gram_value[np.searchsorted(grams, found)], at[:-1]) / math.log(10))
+            each = [gram_value[np.searchsorted(grams, found)] for found in byte_grams(data, off)]
+            columns["score"].append(np.add.reduceat(np.concatenate(each), off[:-1] + np.arange(len(off) - 1)) / math.log(10))
             found, first = word_keys(data, off)
             slot = np.searchsorted(word, found)
             sums = np.concatenate(([0.0], np.cumsum(base[slot])))

@@ -100,16 +100,32 @@ def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, equal for equal words wherever they stand."""
-    if len(starts) == 0:
-        return np.zeros(0, U64)
+#: Bytes whose words are hashed at once; a longer text takes several rounds.
+SPAN_BYTES = 4 << 20
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE_VALUES[data] * up[: len(data)], dtype=U64, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, equal for equal words wherever they stand."""
+    if len(starts) == 0:
+        return np.zeros(0, U64)
+    if len(data) <= SPAN_BYTES:
+        return _span_hashes(data, starts, ends)
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + SPAN_BYTES, "right")))
+        out[i:j] = _span_hashes(data[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 _STEP = np.array([mix_int(1000 + i) | 1 for i in range(64)], U64)
 
 

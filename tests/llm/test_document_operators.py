@@ -354,6 +354,27 @@ def test_ctw_equals_brute_force(spark, docs, rows, no_docs, monkeypatch):
     assert ctw.score_documents(no_docs.withColumn("held_out", F.lit(True))).count() == 0
 
 
+def test_long_texts_take_several_rounds(monkeypatch):
+    import numpy as np
+
+    from factorweave.llm import text as tx
+
+    data = np.frombuffer(" ".join(f"wörd{i} {'x' * (i % 90)}" for i in range(500)).encode(), np.uint8)
+    off = np.array([0, 700, 700, len(data)])
+    starts, ends, _ = tx.words(data, off, tx.SPACES)
+    hashes, grams = tx.word_hashes(data, starts, ends), np.concatenate(list(ctw.byte_grams(data, off)))
+    assert len(grams) == len(data) + 3
+    # each gram by itself: the bytes before it within its text, nearest first, then its own or the end mark
+    plain = []
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        padded = [ctw.END] * ctw.DEPTH + data[a:b].tolist() + [ctw.END]
+        plain += [int.from_bytes(bytes([*padded[k - 1 : k - 1 - ctw.DEPTH if k > ctw.DEPTH else None : -1], padded[k]]), "big") for k in range(ctw.DEPTH, len(padded))]
+    assert grams.tolist() == plain
+    monkeypatch.setattr(tx, "SPAN_BYTES", 64)
+    monkeypatch.setattr(ctw, "SPAN_GRAMS", 100)
+    assert (tx.word_hashes(data, starts, ends) == hashes).all() and (np.concatenate(list(ctw.byte_grams(data, off))) == grams).all()
+
+
 def test_ctw_does_not_depend_on_hot_contexts(spark, docs, monkeypatch):
     marked = docs.withColumn("held_out", F.col("doc_id") % 5 == 1)
     monkeypatch.setattr(ctw, "HOT_GRAMS", 1 << 60)
