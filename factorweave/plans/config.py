@@ -68,7 +68,7 @@ def analysis_value(name: str, raw: object, fallback: bool = True) -> object:
     text = "" if raw is None else str(raw).strip()
     if kind is str:
         names = [] if text == "__preset__" else list(dict.fromkeys(filter(None, (x.strip() for x in text.split(",")))))
-        if bad := [n for n in names if not re.fullmatch("[A-Za-z0-9_]+", n)]:
+        if bad := [n for n in names if not re.match(r"[A-Za-z0-9_]+\Z", n)]:
             raise ValueError(f"{name}: not a factor name: {bad[0]}")
         return ",".join(names)
     if not text:

@@ -39,7 +39,7 @@ Transport = Callable[..., Any]
 def chart_period(period: str) -> str:
     """A range that charts know: a number of days, weeks, months or years, 'ytd' or 'max'."""
     said = str(period or "").strip().lower()
-    if not re.fullmatch(r"\d+(d|wk|mo|y)|ytd|max", said):
+    if not re.match(r"(\d+(d|wk|mo|y)|ytd|max)\Z", said):
         raise ValueError(f"unsupported period: {period!r}")
     return said
 
@@ -53,7 +53,7 @@ def request_bounds(period: str, expected_end: dt.date | None) -> dict[str, str]:
         start = dt.date(end.year, 1, 1)
     elif period == "max":
         start = dt.date(1970, 1, 1)
-    elif found := re.fullmatch(r"(\d+)(d|wk|mo|y)", period):
+    elif found := re.match(r"(\d+)(d|wk|mo|y)\Z", period):
         n, unit = int(found[1]), found[2]
         if unit == "y":
             last = 28 if end.month == 2 else days.monthrange(end.year - n, end.month)[1]
