@@ -51,20 +51,22 @@ SPAN_GRAMS = 1 << 20
 def byte_grams(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
     """For each byte and the end mark of each text, the ``DEPTH`` bytes before it, nearest first, and itself, in spans."""
     n_docs = len(off) - 1
-    step = DEPTH + 1
-    total = len(data) + n_docs
-    padded = np.full(len(data) + n_docs * step + DEPTH, END, np.uint8)
-    first = off[:-1] + np.arange(n_docs)  # a text's first place among all
-    begin = off[:-1] + DEPTH + step * np.arange(n_docs)  # and among the padded bytes
-    for i in range(n_docs):
-        padded[begin[i] : begin[i] + off[i + 1] - off[i]] = data[off[i] : off[i + 1]]
-    for a in range(0, total, SPAN_GRAMS):
-        place = np.arange(a, min(total, a + SPAN_GRAMS))
-        at = place + (begin - first)[np.searchsorted(first, place, "right") - 1]
-        grams = np.zeros(len(place), U64)
-        for i in [*range(1, DEPTH + 1), 0]:
-            grams = grams << U64(8) | padded[at - i]
-        yield grams
+    total = DEPTH + len(data) + n_docs * (DEPTH + 1)
+    padded = np.full(total + 8, END, np.uint8)
+    mine = np.ones(total, bool)
+    mine[:DEPTH] = False
+    ends = DEPTH + off[1:] + (DEPTH + 1) * np.arange(n_docs)
+    mine[ends[:, None] + np.arange(DEPTH + 1)] = False
+    padded[:total][mine] = data
+    mine[ends] = True
+    # the eight bytes from each place on, as little-endian numbers: the farthest byte of a context is their lowest
+    eight = np.ndarray(total, "<u8", padded, strides=(1,))
+    for a in range(DEPTH, total - DEPTH, SPAN_GRAMS):
+        b = min(total - DEPTH, a + SPAN_GRAMS)
+        grams = eight[a - DEPTH : b - DEPTH] << U64(64 - 8 * DEPTH)
+        grams >>= U64(56 - 8 * DEPTH)
+        grams |= padded[a:b]
+        yield grams[mine[a:b]]
 
 
 def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,25 +286,65 @@ def gram_values(top: Top):
     return run
 
 
+#: No key of a word (the highest bit is set) or an n-gram (``DEPTH`` + 1 bytes).
+_FREE = U64(1 << 62)
+#: Keys that are looked up at once.
+_SPAN_KEYS = 1 << 16
+
+
+class Table:
+    """Values by distinct keys in a hash table with linear probing, at most half full: a key takes about one read, where a binary search takes twenty."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(1, (2 * len(keys)).bit_length())
+        self.shift, self.last = U64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, _FREE), np.zeros(1 << bits)
+        at = self._first(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == _FREE]
+            self.keys[at[free]] = keys[free]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & self.last
+        self.values[at] = values
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (tx.mix(keys) >> self.shift).astype(np.int64)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where in ``values`` each key's value is; an error if a key is missing."""
+        out = np.empty(len(keys), np.int64)
+        for a in range(0, len(keys), _SPAN_KEYS):
+            some = keys[a : a + _SPAN_KEYS]
+            at = self._first(some)
+            left = np.flatnonzero(self.keys[at] != some)
+            while len(left):
+                if (self.keys[at[left]] == _FREE).any():
+                    raise KeyError("a key of the block has no value")
+                at[left] = at[left] + 1 & self.last
+                left = left[self.keys[at[left]] != some[left]]
+            out[a : a + _SPAN_KEYS] = at
+        return out
+
+
 def _scores(train_tokens: int, distinct: int):
     low = train_tokens + 0.5 * (distinct + 1)
 
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
         keys, value = values.column("key").to_numpy().view(U64), values.column("value").to_numpy()
-        order = np.argsort(keys)
-        keys, value = keys[order], value[order]
-        split = int(np.searchsorted(keys, _WORD))
-        grams, gram_value, word, count = keys[:split], value[:split], keys[split:], value[split:]
+        is_word = keys >= _WORD
+        grams, counts = Table(keys[~is_word], value[~is_word]), Table(keys[is_word], value[is_word])
+        count = counts.values
         base = np.log10((count + 0.5) / low)
-        end = int(np.searchsorted(word, _END_WORD[0]))
+        end = int(counts.places(_END_WORD)[0])
         columns: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         for piece in tx.pieces(docs, "text"):
             data, off = tx.flat(piece.column("text"))
             data = tx.LOWER[data]
-            each = [gram_value[np.searchsorted(grams, found)] for found in byte_grams(data, off)]
+            each = [grams.values[grams.places(found)] for found in byte_grams(data, off)]
             columns["score"].append(np.add.reduceat(np.concatenate(each), off[:-1] + np.arange(len(off) - 1)) / math.log(10))
             found, first = word_keys(data, off)
-            slot = np.searchsorted(word, found)
+            slot = counts.places(found)
             sums = np.concatenate(([0.0], np.cumsum(base[slot])))
             known = np.concatenate(([0], np.cumsum(count[slot] > 0)))
             columns["base_score"].append(sums[first[1:]] - sums[first[:-1]] + base[end])

@@ -397,3 +397,39 @@ def test_ctw_is_a_distribution():
     nodes = [row for b in ctw.subtree_weights(np.zeros(0, np.int64))(iter([batch])) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     (out,) = ctw.gram_values(ctw.Top(nodes))(iter([batch]))
     assert math.isclose(np.exp(out.column(1).to_numpy()).sum(), 1.0, rel_tol=1e-9)
+
+
+def test_ctw_looks_keys_up_without_binary_search():
+    # scoring a text of many n-grams takes less time than binary searches of these alone
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    data = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)[np.random.default_rng(5).integers(0, 27, 3_000_000)]
+    docs = pa.table({"text": [p.tobytes().decode() for p in np.split(data, 10)], "doc_id": range(10), "held_out": [True] * 10, "block": pa.array([0] * 10, pa.int32())})
+    keys = ctw.block_counts(docs).column("key").to_numpy()
+    grams = keys[keys >= 0]
+    value = np.where(keys >= 0, -1.0 - keys % 7, keys % 3)
+    table = pa.table({"key": keys[::-1], "value": value[::-1]})
+    found = np.concatenate(list(ctw.byte_grams(data, np.arange(0, 3_000_001, 300_000))))
+    start = time.process_time()
+    where = np.searchsorted(grams, found.view(np.int64))
+    middle = time.process_time()
+    out = ctw._scores(100, 10)(docs, table)
+    assert time.process_time() - middle < middle - start
+    sums = (value[keys >= 0][where]).reshape(10, -1).sum(1) / math.log(10)
+    assert np.allclose(out.column("score").to_numpy(), sums, rtol=1e-12)
+
+
+def test_ctw_table_equals_dict():
+    import numpy as np
+    import pytest
+
+    for n in (0, 1, 2, 3, 1000):
+        keys = np.random.default_rng(n).permutation(np.arange(n, dtype=np.uint64) * np.uint64(1 << 40))
+        table = ctw.Table(keys, np.arange(n) + 0.5)
+        assert (table.values[table.places(keys)] == np.arange(n) + 0.5).all()
+        # a key without a value is an error, not another key's value
+        with pytest.raises(KeyError):
+            table.places(np.append(keys, np.uint64(12345)))
